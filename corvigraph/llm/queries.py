@@ -7,10 +7,32 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 from ..sources.tables import table
-from . import groups, mixing, packing, pairs, splitting, term_counts
+from . import groups, mixing, packing, pairs, pii, splitting, term_counts
 from .cases import current_rows, version_key
 from .text import normal_form_col, normal_list_col
 
+# --- 1: personal information
+
+
+def _free_texts(spark: SparkSession, base: str) -> DataFrame:
+    history = table(spark, base, "reports_lean").select(F.lit("reports_lean.history").alias("field"), F.col("report_id").alias("row_id"), F.col("history").alias("text"))
+    evidence = table(spark, base, "clinical_relationships").select(F.lit("clinical_relationships.evidence").alias("field"), F.col("rel_id").alias("row_id"), F.col("evidence").alias("text"))
+    return history.unionByName(evidence)
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.found_items(_free_texts(spark, base))
+
+
+def p1_redacted(spark: SparkSession, base: str) -> DataFrame:
+    return pii.redacted(_free_texts(spark, base))
+
+
+def p1_disclosure(spark: SparkSession, base: str) -> DataFrame:
+    """How strongly each term reveals a person."""
+    return pii.disclosure_table(_free_texts(spark, base))
+
+
 # --- 2: frequency of every value
 
 
@@ -162,4 +184,4 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return mixing.source_rates(table(spark, base, "documents"), table(spark, base, "mix_targets")).where("NOT reachable").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p6_found, p6_containers, p6_report, p7_found, p7_uses, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_disclosure, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p6_found, p6_containers, p6_report, p7_found, p7_uses, p7_shares)}
