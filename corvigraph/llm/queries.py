@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 from ..sources.tables import table
-from . import groups, mixing, packing, pairs, pii, splitting, term_counts
+from . import groups, mixing, packing, pairs, pii, splitting, subjects, term_counts
 from .cases import current_rows, version_key
 from .text import normal_form_col, normal_list_col
 
@@ -184,4 +184,21 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return mixing.source_rates(table(spark, base, "documents"), table(spark, base, "mix_targets")).where("NOT reachable").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_disclosure, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p6_found, p6_containers, p6_report, p7_found, p7_uses, p7_shares)}
+# --- 8: subject areas
+
+
+def _subject_counts(spark: SparkSession, base: str) -> DataFrame:
+    return subjects.subject_counts(table(spark, base, "documents").select("doc_id", "text"), table(spark, base, "subject_areas"), table(spark, base, "subject_labels"), Scratch(spark, "p8"))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return _subject_counts(spark, base).where(F.col("about") * subjects.QUARTER >= F.col("sentences")).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, base: str) -> DataFrame:
+    """The corpus by subject: documents that are about it, and sentences."""
+    c = _subject_counts(spark, base)
+    return c.groupBy("subject").agg(F.count_if(F.col("about") * subjects.QUARTER >= F.col("sentences")).alias("documents"), F.sum("about").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_disclosure, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p6_found, p6_containers, p6_report, p7_found, p7_uses, p7_shares, p8_found, p8_composition)}
