@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 
-LEAVES, VECTOR_SIZE, KMEANS_ROUNDS = 96, 4096, 8
+LEAVES, VECTOR_SIZE, KMEANS_ROUNDS = 128, 4096, 8
 BUCKETS = 1 << 17
-EM_ROUNDS = 3
+EM_ROUNDS = 4
 QUARTER = 4
 #: Bound of the labelled documents used to label leaves.
 MOST_LABELLED = 100_000
 #: Share of sentences about no subject before any is seen; weight of a labelled document against others at the start.
-NONE_PRIOR, LABELLED_WEIGHT = 0.3, 10.0
+NONE_PRIOR, LABELLED_WEIGHT = 0.3, 20.0
 #: Least information of a term about the class; occurrences by which rare terms are drawn to the average.
-LEAST_GAIN, SHRINK = 0.5, 3.0
+LEAST_GAIN, SHRINK = 0.3, 5.0
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
 _WORDS = re.compile(r"[^\W\d_]+")
