@@ -202,3 +202,9 @@ def p8_composition(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_disclosure, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p6_found, p6_containers, p6_report, p7_found, p7_uses, p7_shares, p8_found, p8_composition)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .sql import statements
+
+    return statements()
