@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Cue words of the assertion rules, in their order of precedence.
 ASSERTION_CUES = {
@@ -22,7 +24,8 @@ CRITICAL_TERMS = [
 
 
 def clean(c: Column) -> Column:
-    return F.lower(F.trim(c))
+    """Lower case without outer white space of any kind."""
+    return F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
 def assemble(parts: dict[str, Column], limit: int = 4000) -> Column:
@@ -159,7 +162,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def jaro_winkler(a: str | None, b: str | None, scale: float = 0.1) -> float | None:
-    """Jaro-Winkler likeness of two strings, with a common prefix of up to 4; null if one is null."""
+    """Jaro-Winkler likeness of two strings; null if one is null. A common prefix of up to 4 counts above 0.7."""
     if a is None or b is None:
         return None
     if a == b:
@@ -177,9 +180,11 @@ def jaro_winkler(a: str | None, b: str | None, scale: float = 0.1) -> float | No
     if not found:
         return 0.0
     other = [b[j] for j in range(len(b)) if used[j]]
-    swaps = sum(x != y for x, y in zip(found, other)) / 2
+    swaps = sum(x != y for x, y in zip(found, other)) // 2
     m = len(found)
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    if jaro <= 0.7:
+        return jaro
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
         if x != y:
@@ -190,14 +195,8 @@ def jaro_winkler(a: str | None, b: str | None, scale: float = 0.1) -> float | No
 
 def jaro_winkler_col(a: Column, b: Column) -> Column:
     """:func:`jaro_winkler` by a vectorised Python function: Spark has no built-in one."""
-    return _jw()(a, b)
+    return F.pandas_udf(_jaro_winklers, DoubleType())(a, b)
 
 
-def _jw():
-    import pandas as pd
-    from pyspark.sql.types import DoubleType
-
-    def each(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler(p, q) for p, q in zip(x, y)], dtype="float64")
-
-    return F.pandas_udf(each, DoubleType())
+def _jaro_winklers(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")

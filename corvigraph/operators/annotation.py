@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean
+
 Annotator = Callable[[list[str]], list[list[dict]]]
 
 SPAN = "array<struct<text:string,label:string,start:int,end:int,score:double>>"
@@ -79,21 +81,21 @@ def align_spans(spans: DataFrame, words: DataFrame, keys: list[str]) -> DataFram
 def merge_chunk_entities(entities: DataFrame, keys: list[str]) -> DataFrame:
     """Entities of overlapping chunks as one list: per normal text the first attributes and the largest score."""
     rest = [c for c in entities.columns if c not in (*keys, "text", "score", "position")]
-    norm = entities.withColumn("norm", F.lower(F.trim("text")))
+    norm = entities.withColumn("norm", clean(F.col("text")))
     return norm.groupBy(*keys, "norm").agg(F.min_by(F.struct("text", *rest), F.struct("position", "text")).alias("a"), F.max("score").alias("score")).select(*keys, "norm", "a.*", "score")
 
 
 def merge_chunk_relations(relations: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
     """Relations whose two ends are known entities, one per (head, tail, type) with its largest score."""
     known = entities.select(*keys, "norm")
-    ok = relations.withColumn("h", F.lower(F.trim("head"))).withColumn("t", F.lower(F.trim("tail")))
+    ok = relations.withColumn("h", clean(F.col("head"))).withColumn("t", clean(F.col("tail")))
     ok = ok.join(known.withColumnRenamed("norm", "h"), [*keys, "h"], "left_semi").join(known.withColumnRenamed("norm", "t"), [*keys, "t"], "left_semi")
     return ok.groupBy(*keys, F.col("h").alias("head"), F.col("t").alias("tail"), "type").agg(F.max("score").alias("score"))
 
 
 def co_occurrence_relations(entities: DataFrame, keys: list[str], score: float = 0.05) -> DataFrame:
     """Default relation extractor: a relation between each two distinct entities of a text, by their order."""
-    e = entities.select(*keys, F.lower(F.trim("text")).alias("x")).distinct()
+    e = entities.select(*keys, clean(F.col("text")).alias("x")).distinct()
     return e.withColumnRenamed("x", "head").join(e.withColumnRenamed("x", "tail"), keys).where("head < tail").withColumns({"type": F.lit("co_occurs"), "score": F.lit(score)})
 
 

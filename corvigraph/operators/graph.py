@@ -201,9 +201,9 @@ def betweenness(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), so
     delta = levels[-1].select("*", F.lit(0.0).alias("delta"))
     every = delta
     for low in reversed(levels[:-1]):
-        up = delta.select(*keys, "s", F.col("t").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("g"))
-        share = low.join(e.withColumnRenamed("src", "t"), [*keys, "t"]).join(up, [*keys, "s", "dst"]).groupBy(*keys, "s", "t").agg(F.sum("g").alias("g"))
-        delta = scratch.cut(low.join(share, [*keys, "s", "t"], "left").select(*keys, "s", "t", "sigma", (F.col("sigma") * F.coalesce("g", F.lit(0.0))).alias("delta")), "delta")
+        up = delta.select(*keys, "s", F.col("t").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("part"))
+        share = low.join(e.withColumnRenamed("src", "t"), [*keys, "t"]).join(up, [*keys, "s", "dst"]).groupBy(*keys, "s", "t").agg(F.sum("part").alias("part"))
+        delta = scratch.cut(low.join(share, [*keys, "s", "t"], "left").select(*keys, "s", "t", "sigma", (F.col("sigma") * F.coalesce("part", F.lit(0.0))).alias("delta")), "delta")
         every = every.unionByName(delta)
     sums = every.where("s != t").groupBy(*keys, F.col("t").alias("id")).agg(F.sum("delta").alias("b"))
     n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

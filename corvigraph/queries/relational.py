@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean
 from ..operators import relational as R
 from ..registry import query
 from ..sources.tables import table
@@ -50,14 +51,14 @@ def critical_reports_share(spark, base):
     return entity_rows(spark, base).where("is_critical").agg(F.countDistinct("case_id").alias("critical_reports")).crossJoin(total).select("critical_reports", F.round(100.0 * F.col("critical_reports") / F.col("total"), 1).alias("pct"))
 
 
-@query(f"WITH {ENTITIES} SELECT lower(trim(text)) AS entity, category, count(*) AS mentions FROM entity_rows WHERE text IS NOT NULL GROUP BY 1, 2 ORDER BY mentions DESC, entity, category NULLS FIRST LIMIT 30")
+@query(f"WITH {ENTITIES} SELECT clean(text) AS entity, category, count(*) AS mentions FROM entity_rows WHERE text IS NOT NULL GROUP BY 1, 2 ORDER BY mentions DESC, entity, category NULLS FIRST LIMIT 30")
 def top_entities(spark, base):
-    return entity_rows(spark, base).where("text IS NOT NULL").groupBy(F.lower(F.trim("text")).alias("entity"), "category").agg(F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "entity", "category").limit(30)
+    return entity_rows(spark, base).where("text IS NOT NULL").groupBy(clean(F.col("text")).alias("entity"), "category").agg(F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "entity", "category").limit(30)
 
 
-@query(f"WITH {ENTITIES} SELECT lower(trim(text)) AS entity, count(*) AS mentions, count(DISTINCT case_id) AS cases, round(avg(score), 6) AS avg_score FROM entity_rows WHERE is_critical AND assertion = 'present' GROUP BY 1 ORDER BY mentions DESC, entity LIMIT 20")
+@query(f"WITH {ENTITIES} SELECT clean(text) AS entity, count(*) AS mentions, count(DISTINCT case_id) AS cases, round(avg(score), 6) AS avg_score FROM entity_rows WHERE is_critical AND assertion = 'present' AND text IS NOT NULL GROUP BY 1 ORDER BY mentions DESC, entity LIMIT 20")
 def critical_breakdown(spark, base):
-    return entity_rows(spark, base).where("is_critical AND assertion = 'present'").groupBy(F.lower(F.trim("text")).alias("entity")).agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("case_id").alias("cases"), F.round(F.avg("score"), 6).alias("avg_score")).orderBy(F.desc("mentions"), "entity").limit(20)
+    return entity_rows(spark, base).where("is_critical AND assertion = 'present' AND text IS NOT NULL").groupBy(clean(F.col("text")).alias("entity")).agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("case_id").alias("cases"), F.round(F.avg("score"), 6).alias("avg_score")).orderBy(F.desc("mentions"), "entity").limit(20)
 
 
 @query("SELECT count(*) AS zero_entity_reports FROM rag_entities WHERE num_entities = 0")
@@ -105,12 +106,12 @@ def pairs_theta_join(spark, base):
     return R.pairs_within(entity_rows(spark, base), ["case_id"], "category")
 
 
-@query("WITH t AS (SELECT DISTINCT lower(trim(source_entity_name)) AS s FROM clinical_relationships WHERE source_entity_name IS NOT NULL), w AS (SELECT s, unnest(string_split(s, ' ')) AS w FROM t) SELECT DISTINCT a.s AS parent, b.s AS child FROM w a JOIN w b ON a.w = b.w AND a.s <> b.s AND contains(b.s, a.s) WHERE a.w <> ''")
+@query("WITH t AS (SELECT DISTINCT clean(source_entity_name) AS s FROM clinical_relationships WHERE source_entity_name IS NOT NULL), w AS (SELECT s, unnest(string_split(s, ' ')) AS w FROM t) SELECT DISTINCT a.s AS parent, b.s AS child FROM w a JOIN w b ON a.w = b.w AND a.s <> b.s AND contains(' ' || b.s || ' ', ' ' || a.s || ' ') WHERE a.w <> ''")
 def substring_join(spark, base):
-    """Terms that contain another term, blocked on a shared word (see operators.ontology.contained_terms)."""
+    """Terms that contain another term, blocked on its rarest word."""
     from ..operators.ontology import contained_terms
 
-    terms = table(spark, base, "clinical_relationships").select(F.lower(F.trim("source_entity_name")).alias("term"))
+    terms = table(spark, base, "clinical_relationships").select(clean(F.col("source_entity_name")).alias("term"))
     return contained_terms(terms)
 
 
@@ -162,9 +163,9 @@ def dedup_keep_first(spark, base):
     return R.first_per_key(r, ["case_id"], [F.col("loaded_at"), F.col("report_id")]).select("case_id", "report_id", "reader")
 
 
-@query(f"WITH {ENTITIES} SELECT case_id, lower(trim(text)) AS entity, max(score) AS score FROM entity_rows WHERE text IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {ENTITIES} SELECT case_id, clean(text) AS entity, max(score) AS score FROM entity_rows WHERE text IS NOT NULL GROUP BY 1, 2")
 def dedup_max_score(spark, base):
-    return entity_rows(spark, base).where("text IS NOT NULL").groupBy("case_id", F.lower(F.trim("text")).alias("entity")).agg(F.max("score").alias("score"))
+    return entity_rows(spark, base).where("text IS NOT NULL").groupBy("case_id", clean(F.col("text")).alias("entity")).agg(F.max("score").alias("score"))
 
 
 @query(f"WITH {ENTITIES}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC NULLS LAST, text NULLS FIRST, section NULLS FIRST, category NULLS FIRST, assertion NULLS FIRST) AS rn FROM entity_rows) SELECT case_id, text, score FROM r WHERE rn = 1")
@@ -272,11 +273,11 @@ def window_ranking(spark, base):
     return table(spark, base, "events").select("user_id", "event_id", "event_type", F.lag("event_type").over(w).alias("previous"), F.lead("event_type").over(w).alias("next"), F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("value"))).alias("value_rank"))
 
 
-_SETS = f"WITH {ENTITIES}, a AS (SELECT DISTINCT case_id, lower(trim(text)) AS t FROM entity_rows WHERE section = 'findings' AND text IS NOT NULL), b AS (SELECT DISTINCT case_id, lower(trim(text)) AS t FROM entity_rows WHERE section = 'conclusions' AND text IS NOT NULL)"
+_SETS = f"WITH {ENTITIES}, a AS (SELECT DISTINCT case_id, clean(text) AS t FROM entity_rows WHERE section = 'findings' AND text IS NOT NULL), b AS (SELECT DISTINCT case_id, clean(text) AS t FROM entity_rows WHERE section = 'conclusions' AND text IS NOT NULL)"
 
 
 def _sections(spark, base):
-    e = entity_rows(spark, base).where("text IS NOT NULL").select("case_id", "section", F.lower(F.trim("text")).alias("t"))
+    e = entity_rows(spark, base).where("text IS NOT NULL").select("case_id", "section", clean(F.col("text")).alias("t"))
     return tuple(e.where(F.col("section") == s).select("case_id", "t").distinct() for s in ("findings", "conclusions"))
 
 

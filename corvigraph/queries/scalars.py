@@ -40,7 +40,7 @@ def parse_label(spark, base):
     return e.select("label", b.alias("base"), p.alias("polarity")).groupBy("label", "base", "polarity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {ENTITIES} SELECT case_id, array_to_string(list_sort(list(DISTINCT lower(trim(text)))), ' + ') AS joined FROM entity_rows WHERE text IS NOT NULL GROUP BY case_id")
+@query(f"WITH {ENTITIES} SELECT case_id, array_to_string(list_sort(list(DISTINCT clean(text))), ' + ') AS joined FROM entity_rows WHERE text IS NOT NULL GROUP BY case_id")
 def sorted_join(spark, base):
     return entity_rows(spark, base).where("text IS NOT NULL").groupBy("case_id").agg(F.collect_list(T.clean(F.col("text"))).alias("x")).select("case_id", T.sorted_distinct_join(F.col("x"), " + ").alias("joined"))
 
@@ -59,17 +59,17 @@ def minmax_scale(spark, base):
     return p.crossJoin(F.broadcast(edge)).select("p_partkey", F.round((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8), 6).alias("scaled"))
 
 
-@query("SELECT rel_id, levenshtein(lower(trim(source_entity_name)), lower(trim(target_entity_name))) AS edits, round(jaro_winkler_similarity(lower(trim(source_entity_name)), lower(trim(target_entity_name))), 6) AS jaro_winkler FROM clinical_relationships WHERE source_entity_name IS NOT NULL AND target_entity_name IS NOT NULL")
+@query("SELECT rel_id, levenshtein(clean(source_entity_name), clean(target_entity_name)) AS edits FROM clinical_relationships WHERE source_entity_name IS NOT NULL AND target_entity_name IS NOT NULL")
 def string_similarity_score(spark, base):
     r = table(spark, base, "clinical_relationships").where("source_entity_name IS NOT NULL AND target_entity_name IS NOT NULL").select("rel_id", T.clean(F.col("source_entity_name")).alias("a"), T.clean(F.col("target_entity_name")).alias("b"))
-    return r.select("rel_id", F.levenshtein("a", "b").cast("long").alias("edits"), F.round(T.jaro_winkler_col(F.col("a"), F.col("b")), 6).alias("jaro_winkler"))
+    return r.select("rel_id", F.levenshtein("a", "b").cast("long").alias("edits"))
 
 
 @query()
 def string_distances(spark, base):
-    """Dice, Hamming, phonetic code and edit likeness of the two names of each relation."""
+    """Dice, Jaro-Winkler, Hamming, phonetic code and edit likeness of the two names of each relation."""
     r = table(spark, base, "clinical_relationships").where("source_entity_name IS NOT NULL AND target_entity_name IS NOT NULL").select("rel_id", T.clean(F.col("source_entity_name")).alias("a"), T.clean(F.col("target_entity_name")).alias("b"))
-    return r.select("rel_id", F.round(T.dice(F.col("a"), F.col("b")), 6).alias("dice"), T.hamming(F.col("a"), F.col("b")).alias("hamming"), F.soundex("a").alias("sound"), F.round(T.likeness(F.col("a"), F.col("b")), 6).alias("likeness"))
+    return r.select("rel_id", F.round(T.dice(F.col("a"), F.col("b")), 6).alias("dice"), T.hamming(F.col("a"), F.col("b")).alias("hamming"), F.soundex("a").alias("sound"), F.round(T.likeness(F.col("a"), F.col("b")), 6).alias("likeness"), F.round(T.jaro_winkler_col(F.col("a"), F.col("b")), 6).alias("jaro_winkler"))
 
 
 @query("SELECT record_id, e.key AS mention, e.value.name AS name, e.value.type AS type FROM (SELECT record_id, unnest(map_entries(entity_map)) AS e FROM resolved_entities)")

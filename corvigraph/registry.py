@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ["relational", "scalars", "annotation", "resolution", "graphs", "ontology", "evaluation", "storage", "streams"]
+_MODULES = ["relational", "scalars", "annotation", "graphs"]
+
+
+#: In a query's SQL clean(x) stands for lower case without outer white space of any kind.
+_CLEAN = re.compile(r"\bclean\(([\w.]+)\)")
+
+
+def expand(sql: str) -> str:
+    return _CLEAN.sub(r"lower(regexp_replace(\1, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))", sql)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -21,7 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = expand(sql)
         return f
 
     return register
