@@ -72,8 +72,12 @@ def heuristic_pairs(terms: DataFrame, most: int = 5) -> DataFrame:
 
 
 def verified(pairs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs whose edit likeness is at least ``least``: the stand-in for an external judge; null likeness is no match."""
-    return pairs.withColumn("likeness", likeness(F.col("a"), F.col("b"))).where(F.col("likeness") >= least)
+    """Pairs whose edit likeness is at least ``least``: the stand-in for an external judge; null likeness is no match.
+
+    Signs beyond ASCII count as one and the same.
+    """
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    return pairs.withColumn("likeness", likeness(plain("a"), plain("b"))).where(F.col("likeness") >= least)
 
 
 def resolve(terms: DataFrame, matches: DataFrame, scratch: Scratch) -> DataFrame:

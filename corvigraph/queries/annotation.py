@@ -35,8 +35,8 @@ def critical_flag(spark, base):
 
 @query("""WITH t AS (SELECT report_id, 'History: ' || coalesce(history, '') || chr(10) || 'Findings: ' || coalesce(findings, '') || chr(10) || 'Conclusions: ' || coalesce(conclusions, '') || chr(10) || 'Recommendations: ' || coalesce(recommendations, '') AS text FROM reports_lean),
 p AS (SELECT report_id, lower(text) AS low, strpos(lower(text), 'measur') - 1 AS pos FROM t)
-SELECT report_id, pos::INT AS pos, arg_max(name, at) AS section FROM (
-  SELECT report_id, pos, name, CASE WHEN strpos(substring(low, 1, pos), h) > 0 THEN length(substring(low, 1, pos)) - length(string_split(substring(low, 1, pos), h)[-1]) ELSE 0 END AS at
+SELECT report_id, pos::INT AS pos, arg_max(name, place) AS section FROM (
+  SELECT report_id, pos, name, CASE WHEN strpos(substring(low, 1, pos), h) > 0 THEN length(substring(low, 1, pos)) - length(string_split(substring(low, 1, pos), h)[-1]) ELSE 0 END AS place
   FROM p, (VALUES ('history', 'history:'), ('findings', 'findings:'), ('conclusions', 'conclusions:'), ('recommendations', 'recommendations:')) s(name, h) WHERE pos > 0) GROUP BY report_id, pos""")
 def section_rules(spark, base):
     """Section, by the nearest header before it, of the first measurement of each assembled report."""
