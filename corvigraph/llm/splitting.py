@@ -94,6 +94,7 @@ def choose_cuts(length: int, ends: np.ndarray, limit: int = LIMIT, overlap: int
         k = int(np.searchsorted(ends, done, side="right"))
         stretch = (int(ends[k]) if k < len(ends) else length) - done
         reach = min(overlap, limit - stretch) if stretch <= limit else overlap
+        reach = min(reach, done - start - 1)  # never the whole piece before
         k = int(np.searchsorted(ends, done - reach, side="left"))
         start = int(ends[k]) if k < len(ends) and done - reach <= ends[k] < done else done - reach
     return out
