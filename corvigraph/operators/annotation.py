@@ -64,11 +64,15 @@ def roll_up(reports: DataFrame, entities: DataFrame, key: str) -> DataFrame:
 
 
 def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, token_no, token, start, end): words between blanks with 0-based offsets, end exclusive."""
-    words = df.select(*keys, F.posexplode(F.split(text, " ")).alias("n", "token"), F.split(text, " ").alias("all"))
-    before = F.aggregate(F.slice("all", 1, F.col("n")), F.lit(0), lambda s, w: s + F.length(w) + 1)
-    out = words.withColumn("start", before).where(F.length("token") > 0)
-    return out.select(*keys, F.col("n").alias("token_no"), "token", "start", (F.col("start") + F.length("token")).alias("end"))
+    """(keys, token_no, token, start, end): words between white space with 0-based offsets, end exclusive; token_no from 0."""
+    fields = ", ".join(f"`{n}` {t}" for n, t in df.select(*keys).dtypes)
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            rows = [(*k, i, m.group(), m.start(), m.end()) for *k, t in block[[*keys, text]].itertuples(index=False) if isinstance(t, str) for i, m in enumerate(re.finditer(r"\S+", t))]
+            yield pd.DataFrame(rows, columns=[*keys, "token_no", "token", "start", "end"])
+
+    return df.select(*keys, text).mapInPandas(run, f"{fields}, token_no int, token string, start int, end int")
 
 
 def align_spans(spans: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:

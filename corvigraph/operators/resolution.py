@@ -57,15 +57,15 @@ def candidate_pairs(neighbours: DataFrame, least: float) -> DataFrame:
 def heuristic_pairs(terms: DataFrame, most: int = 5) -> DataFrame:
     """(a, b), a < b: terms that share a word and differ in length by at most ``most``, or of which one holds the other as whole words.
 
-    Blocked on shared words that not more than a twentieth of the terms have (such words tell nothing);
-    terms of only common words are blocked on their rarest.
+    Blocked on shared words that at most a twentieth of the terms, or a hundred, have (others tell
+    nothing); terms of only common words are blocked on their rarest.
     """
     one = terms.select("term").where(F.length("term") > 0).distinct()
     w = one.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("word")).where("word != ''")
     n = one.agg(F.count(F.lit(1)).alias("total"))
     freq = w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(n))
     rank = Window.partitionBy("term").orderBy("n", "word")
-    keep = w.join(freq, "word").withColumn("r", F.row_number().over(rank)).where("n * 20 <= total OR r = 1").select("term", "word")
+    keep = w.join(freq, "word").withColumn("r", F.row_number().over(rank)).where("n * 20 <= total OR n <= 100 OR r = 1").select("term", "word")
     pairs = keep.withColumnRenamed("term", "a").join(keep.withColumnRenamed("term", "b"), "word").where("a < b").select("a", "b").distinct()
     inside = F.expr("contains(concat(' ', a, ' '), concat(' ', b, ' ')) OR contains(concat(' ', b, ' '), concat(' ', a, ' '))")
     return pairs.where(inside | (F.abs(F.length("a") - F.length("b")) <= most))

@@ -34,7 +34,7 @@ def knn_candidate_pairs(spark, base):
 
 _WORDS = _TERMS + """, w AS (SELECT DISTINCT term, unnest(string_split(term, ' ')) AS word FROM terms), n AS (SELECT count(*) AS total FROM terms),
 f AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1),
-k AS (SELECT term, word FROM (SELECT w.term, w.word, f.n, total, row_number() OVER (PARTITION BY w.term ORDER BY f.n, w.word) AS r FROM w JOIN f USING (word), n) WHERE n * 20 <= total OR r = 1),
+k AS (SELECT term, word FROM (SELECT w.term, w.word, f.n, total, row_number() OVER (PARTITION BY w.term ORDER BY f.n, w.word) AS r FROM w JOIN f USING (word), n) WHERE n * 20 <= total OR n <= 100 OR r = 1),
 p AS (SELECT DISTINCT a.term AS a, b.term AS b FROM k a JOIN k b ON a.word = b.word AND a.term < b.term),
 h AS (SELECT a, b FROM p WHERE contains(' ' || a || ' ', ' ' || b || ' ') OR contains(' ' || b || ' ', ' ' || a || ' ') OR abs(length(a) - length(b)) <= 5)"""
 

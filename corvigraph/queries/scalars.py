@@ -59,10 +59,11 @@ def minmax_scale(spark, base):
     return p.crossJoin(F.broadcast(edge)).select("p_partkey", F.round((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8), 6).alias("scaled"))
 
 
-@query("SELECT rel_id, levenshtein(clean(source_entity_name), clean(target_entity_name)) AS edits FROM clinical_relationships WHERE source_entity_name IS NOT NULL AND target_entity_name IS NOT NULL")
+@query(r"SELECT rel_id, levenshtein(regexp_replace(clean(source_entity_name), '[^\x00-\x7F]', '?', 'g'), regexp_replace(clean(target_entity_name), '[^\x00-\x7F]', '?', 'g')) AS edits FROM clinical_relationships WHERE source_entity_name IS NOT NULL AND target_entity_name IS NOT NULL")
 def string_similarity_score(spark, base):
     r = table(spark, base, "clinical_relationships").where("source_entity_name IS NOT NULL AND target_entity_name IS NOT NULL").select("rel_id", T.clean(F.col("source_entity_name")).alias("a"), T.clean(F.col("target_entity_name")).alias("b"))
-    return r.select("rel_id", F.levenshtein("a", "b").cast("long").alias("edits"))
+    ascii_only = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    return r.select("rel_id", F.levenshtein(ascii_only("a"), ascii_only("b")).cast("long").alias("edits"))
 
 
 @query()
