@@ -56,12 +56,12 @@ def _features(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def bucket(term: str) -> int:
         got = known.get(term)
         if got is None:
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
             got = known[term] = zlib.crc32(term.encode()) % BUCKETS
         return got
 
-    for block in blocks:
+    for block in _chunks(blocks):
         out_f, out_n, out_w = [], [], []
         for text in block["text"]:
             flat, counts, words = [], [], []
@@ -191,9 +191,11 @@ def _class_counts(feats: DataFrame, classes: int, each) -> np.ndarray:
             for c in range(classes):
                 total[:, c] += np.bincount(flat, weights=weights[:, c], minlength=BUCKETS)
         used = np.flatnonzero(total.any(1))
-        frame = pd.DataFrame(total[used], columns=columns)
-        frame.insert(0, "bucket", used.astype(np.int32))
-        yield frame
+        for i in range(0, len(used), 10_000):
+            part = used[i : i + 10_000]
+            frame = pd.DataFrame(total[part], columns=columns)
+            frame.insert(0, "bucket", part.astype(np.int32))
+            yield frame
 
     rows = feats.mapInPandas(run, "bucket int, " + ", ".join(f"{c} double" for c in columns)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     counts = np.zeros((BUCKETS, classes))
