@@ -125,10 +125,10 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 #: Names that say only that none is known or given, by their normal form without signs.
 NO_NAMES = [
-    "", "a confirmer", "desconocida", "desconocido", "inconnu", "inconnue", "k a", "keine angabe", "missing", "n a", "na", "nan", "n d", "nd",
-    "name unknown", "nicht bekannt", "nil", "no data", "no name", "none", "none given", "none known", "non renseigne", "not applicable", "not available", "not given",
-    "not known", "not named", "not provided", "not recorded", "not specified", "not stated", "null", "sans nom", "sin nombre", "tba", "tbc", "tbd", "to be confirmed", "unbekannt",
-    "undefined", "undetermined", "unidentified", "unk", "unknown", "unknown name", "unnamed", "unspecified",
+    "", "a confirmer", "anon", "anonymous", "aucun", "blank", "desconocida", "desconocido", "empty", "inconnu", "inconnue", "k a", "kein name", "keine angabe", "missing", "n a", "n d", "n k", "na",
+    "name not given", "name not known", "name unknown", "nan", "nd", "nicht angegeben", "nicht bekannt", "nil", "ninguno", "nk", "no data", "no disponible", "no especificado", "no name", "no name given", "no name known", "non connu", "non précisé", "non renseigne", "non renseigné",
+    "none", "none given", "none known", "not applicable", "not available", "not given", "not known", "not named", "not provided", "not recorded", "not specified", "not stated", "null", "ohne namen", "s o", "sans nom", "sin nombre", "tba", "tbc", "tbd",
+    "to be confirmed", "unbekannt", "undefined", "undetermined", "unidentified", "unk", "unknown", "unknown name", "unnamed", "unspecified", "à confirmer",
 ]
 
 
