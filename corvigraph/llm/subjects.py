@@ -107,7 +107,7 @@ def leaf_subjects(clustered: DataFrame, centres: np.ndarray, labels: DataFrame,
     """
     at = {s: i for i, s in enumerate(subjects)}
     wanted = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    seen = clustered.join(wanted, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    seen = clustered.join(wanted, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).repartition(24, "doc_id")
 
     def sums(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, counts, leaf = np.zeros((len(at), VECTOR_SIZE)), np.zeros(len(at)), np.zeros((len(centres), len(at)))
@@ -123,8 +123,8 @@ def leaf_subjects(clustered: DataFrame, centres: np.ndarray, labels: DataFrame,
     sparse = seen.select("subjects", "leaf", vector_to_array("features").alias("dense"))
     sparse = sparse.select("subjects", "leaf", F.filter(F.transform("dense", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] != 0).alias("nz")).select("subjects", "leaf", F.col("nz.i").alias("where"), F.col("nz.x").alias("value"))
     total, counts, leaf = np.zeros((len(at), VECTOR_SIZE)), np.zeros(len(at)), np.zeros((len(centres), len(at)))
-    # at most (2 x subjects + leaves) vectors of fixed size for each of a few tasks
-    for what, row, v in sparse.repartition(4).mapInPandas(sums, "what string, row int, v array<double>").toLocalIterator():
+    # at most (2 x subjects + leaves) vectors of fixed size for each of 24 tasks
+    for what, row, v in sparse.mapInPandas(sums, "what string, row int, v array<double>").toLocalIterator():
         if what == "total":
             total[row] += v
         elif what == "counts":
