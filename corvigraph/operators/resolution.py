@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, likeness
 from ..plans.scratch import Scratch
 from .graph import components
+from .ontology import contained_terms
+
+#: Terms in one part of a block of heuristic_pairs.
+BLOCK = 500
 
 
 def vocabulary(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,18 +61,21 @@ def candidate_pairs(neighbours: DataFrame, least: float) -> DataFrame:
 def heuristic_pairs(terms: DataFrame, most: int = 5) -> DataFrame:
     """(a, b), a < b: terms that share a word and differ in length by at most ``most``, or of which one holds the other as whole words.
 
-    Blocked on shared words that at most a twentieth of the terms, or a hundred, have (others tell
-    nothing); terms of only common words are blocked on their rarest.
+    Every shared word is a block key, with a window of lengths beside it; large blocks are split by hash.
+    A pair comes from its first shared word only, so that none is compared or kept twice.
     """
     one = terms.select("term").where(F.length("term") > 0).distinct()
-    w = one.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("word")).where("word != ''")
-    n = one.agg(F.count(F.lit(1)).alias("total"))
-    freq = w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(n))
-    rank = Window.partitionBy("term").orderBy("n", "word")
-    keep = w.join(freq, "word").withColumn("r", F.row_number().over(rank)).where("n * 20 <= total OR n <= 100 OR r = 1").select("term", "word")
-    pairs = keep.withColumnRenamed("term", "a").join(keep.withColumnRenamed("term", "b"), "word").where("a < b").select("a", "b").distinct()
-    inside = F.expr("contains(concat(' ', a, ' '), concat(' ', b, ' ')) OR contains(concat(' ', b, ' '), concat(' ', a, ' '))")
-    return pairs.where(inside | (F.abs(F.length("a") - F.length("b")) <= most))
+    words = F.filter(F.array_distinct(F.split("term", " ")), lambda x: x != "")
+    w = one.select("term", words.alias("words"), F.length("term").alias("len")).withColumn("word", F.explode("words"))
+    w = w.withColumn("step", F.floor(F.col("len") / (most + 1)).cast("int"))
+    parts = w.groupBy("word", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    left = w.join(parts, ["word", "step"]).select("word", "step", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"), F.col("term").alias("a"), F.col("len").alias("la"), F.col("words").alias("wa"))
+    near = w.select("word", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"), F.col("term").alias("b"), F.col("len").alias("lb"), F.col("words").alias("wb"))
+    right = near.join(parts, ["word", "step"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    close = left.join(right, ["word", "step", "part"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= most))
+    close = close.where(F.array_min(F.array_intersect("wa", "wb")) == F.col("word")).select("a", "b")
+    inside = contained_terms(one).where(F.abs(F.length("parent") - F.length("child")) > most).select(F.least("parent", "child").alias("a"), F.greatest("parent", "child").alias("b"))
+    return close.unionByName(inside)
 
 
 def verified(pairs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -77,7 +84,10 @@ def verified(pairs: DataFrame, least: float = 0.8) -> DataFrame:
     Signs beyond ASCII count as one and the same.
     """
     plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
-    return pairs.withColumn("likeness", likeness(plain("a"), plain("b"))).where(F.col("likeness") >= least)
+    apart = F.coalesce(F.try_divide(F.abs(F.length("a") - F.length("b")).cast("double"), F.greatest(F.length("a"), F.length("b"))), F.lit(0.0))
+    near = pairs.where(1 - apart >= least)  # the distance is at least the difference of lengths
+    near = near.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    return near.withColumn("likeness", likeness(plain("a"), plain("b"))).where(F.col("likeness") >= least)
 
 
 def resolve(terms: DataFrame, matches: DataFrame, scratch: Scratch) -> DataFrame:

@@ -128,3 +128,21 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert sorted(r.n for r in W.windowed(df, [], "1 hour").collect()) == [1, 3]
     assert sorted(r.n for r in W.sessions(df, [], "30 minutes").collect()) == [1, 3]
+
+
+def test_heuristic_pairs_keep_common_words(spark):
+    """130 terms of common words only: every pair of the plain predicate, also containment, is there once."""
+    names = [f"{x}{y} of the left hip" for x in "abcdefgh" for y in "abcdefghijklmno"] + ["left hip", "the left hip", "long one alveolar pattern of the left hip", "x\ny of the left hip", "of the left", "hip", "of  the right", "right hip, and more", "unlike", "é of the left"]
+    bare = lambda t: {w for w in t.split(" ") if w}
+    held = lambda a, b: f" {a} " in f" {b} " or f" {b} " in f" {a} "
+    expected = sorted((a, b) for a in names for b in names if a < b and bare(a) & bare(b) and (abs(len(a) - len(b)) <= 5 or held(a, b)))
+    found = E.heuristic_pairs(spark.createDataFrame([(n,) for n in names], "term string"))
+    assert sorted((r.a, r.b) for r in found.collect()) == expected
+
+
+def test_heuristic_pairs_split_blocks(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 7)
+    names = [f"{i} same word {'z' * (i % 23)}" for i in range(150)]
+    expected = sorted((a, b) for a in names for b in names if a < b and abs(len(a) - len(b)) <= 5)
+    found = E.heuristic_pairs(spark.createDataFrame([(n,) for n in names], "term string"))
+    assert sorted((r.a, r.b) for r in found.collect()) == expected
