@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,6 +147,43 @@ def greedy_disjoint(compounds: DataFrame, key: str) -> DataFrame:
     return compounds.select(key, "compound", "confidence", "parts").groupBy(key).applyInPandas(one, f"{key} {typed}, compound string, confidence double")
 
 
+def select_compounds(terms: DataFrame, entities: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """(key, compound, confidence): ``greedy_disjoint`` over ``part_matches``, without a row for each candidate.
+
+    Confidence is the share of a term's distinct words that the case has. Cases are dealt into buckets and
+    each meets all terms, whose index by word one task holds; a pick strikes out the terms that share a word.
+    """
+    typed = dict(entities.dtypes)[key]
+    have = entities.select(key, F.explode(F.split("text", " ")).alias("word")).where("word != ''").groupBy(key).agg(F.collect_set("word").alias("words"))
+    buckets = max(entities.sparkSession.sparkContext.defaultParallelism, -(-have.count() // 2048))
+    cases = have.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    many = _words(terms.select("term").distinct()).groupBy("term").agg(F.collect_list("word").alias("words")).where(F.size("words") >= least)
+    every = many.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("term", ignore_index=True)
+        size = np.array([len(w) for w in right["words"]], np.float64)
+        lists: dict[str, list[int]] = {}
+        for i, words in enumerate(right["words"]):
+            for w in words:
+                lists.setdefault(w, []).append(i)
+        index = {w: np.array(x) for w, x in lists.items()}
+        rows = []
+        for case, words in zip(left[key], left["words"]):
+            hit = [index[w] for w in words if w in index]
+            if not hit:
+                continue
+            n = np.bincount(np.concatenate(hit), minlength=len(size))
+            score = np.where(n >= least, n / size, -1.0)
+            while score[i := int(score.argmax())] > 0:  # of equal scores the first by name
+                rows.append((case, right["term"][i], score[i]))
+                for w in right["words"][i]:
+                    score[index[w]] = -1.0
+        return pd.DataFrame(rows, columns=[key, "compound", "confidence"])
+
+    return cases.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInPandas(run, f"{key} {typed}, compound string, confidence double")
+
+
 def replace_parts(entities: DataFrame, compounds: DataFrame, key: str) -> DataFrame:
     """(key, text): compounds in place of the entities that are their parts; other entities stay."""
     parts = compounds.select(key, F.explode("parts").alias("text"))

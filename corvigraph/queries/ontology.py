@@ -93,10 +93,8 @@ def adjacent_compounds(spark, base):
 @query()
 def compound_selection(spark, base):
     """Multi-word terms with two or more words among a case's entities, taken greedily without overlap."""
-    e = entity_rows(spark, base).where("text IS NOT NULL AND is_critical").select("case_id", clean(F.col("text")).alias("text"))
-    parts = O.part_matches(terms(spark, base), e, ["case_id"], 3)
-    c = parts.select("case_id", F.col("term").alias("compound"), (F.col("parts") / F.size(F.split("term", " "))).alias("confidence"), F.split("term", " ").alias("parts"))
-    return O.greedy_disjoint(c.where("confidence >= 1"), "case_id")
+    e = entity_rows(spark, base).where("text IS NOT NULL").select("case_id", clean(F.col("text")).alias("text"))
+    return O.select_compounds(terms(spark, base), e, "case_id")
 
 
 @query(f"WITH {ENTITIES}, e AS (SELECT case_id, string_split(clean(text), ' ')[-1] AS concept, clean(text) AS text FROM entity_rows WHERE text IS NOT NULL), w AS (SELECT case_id, concept, unnest(string_split(text, ' ')) AS word FROM e) SELECT case_id, concept, array_to_string(list_sort(list(DISTINCT word)), ' ') AS merged FROM w GROUP BY 1, 2")

@@ -146,3 +146,24 @@ def test_heuristic_pairs_split_blocks(spark, monkeypatch):
     expected = sorted((a, b) for a in names for b in names if a < b and abs(len(a) - len(b)) <= 5)
     found = E.heuristic_pairs(spark.createDataFrame([(n,) for n in names], "term string"))
     assert sorted((r.a, r.b) for r in found.collect()) == expected
+
+
+def test_compound_selection_is_whole(spark, tmp_path):
+    """Entities that are not critical, two-word terms and partial matches count; as the greedy rule by hand."""
+    from corvigraph.queries.ontology import compound_selection
+
+    names = ["left hip", "pain", "effusion of the left hip", "lung mass", "bone lysis of rib", "nasal mass", "left left lung"]
+    spark.createDataFrame([(n, "pain") for n in names], "source_entity_name string, target_entity_name string").write.parquet(f"{tmp_path}/clinical_relationships.parquet")
+    texts = {"a": ["hip", "left"], "b": ["mass of lung", "Bone", "rib  lysis"], "c": ["pain"], "d": ["left lung", "nasal", "mass", None], "e": ["the hip", "effusion"]}
+    e = "array<struct<text string, category string, assertion string, section string, is_critical boolean, score double>>"
+    spark.createDataFrame([(k, [(t, "x", "present", "s", False, 0.5) for t in v]) for k, v in texts.items()], f"case_id string, entities {e}").write.parquet(f"{tmp_path}/rag_entities.parquet")
+    expected = set()
+    for case, said in texts.items():
+        have, used = {w for t in said if t for w in t.lower().split()}, set()
+        found = [(-len(have & w) / len(w), n, w) for n in names for w in [set(n.split())] if len(have & w) >= 2]
+        for score, n, w in sorted(found, key=lambda x: x[:2]):
+            if not used & w:
+                used |= w
+                expected.add((case, n, round(-score, 9)))
+    assert {(r.case_id, r.compound, round(r.confidence, 9)) for r in compound_selection(spark, str(tmp_path)).collect()} == expected
+    assert {x[0] for x in expected} == {"a", "b", "d", "e"}
