@@ -153,17 +153,18 @@ def shortest_paths(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (),
     return found
 
 
-def weighted_paths(edges: DataFrame, scratch: Scratch, weight: str, sources: DataFrame, keys: Sequence[str] = (), most: int = 100) -> DataFrame:
-    """(keys, source, target, distance): least sums of non-negative weights, relaxed until nothing improves."""
+def weighted_paths(edges: DataFrame, scratch: Scratch, weight: str, sources: DataFrame, keys: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """(keys, source, target, distance): least sums of non-negative weights, relaxed until nothing improves, or ``most`` times."""
     keys = list(keys)
     e = scratch.cut(edges.where("src != dst").groupBy(*keys, "src", "dst").agg(F.min(F.col(weight).cast("double")).alias("w")), "edges")
     best = scratch.cut(sources.select(*keys, F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("distance")), "best")
-    active = best
-    for _ in range(most):
+    active, rounds = best, 0
+    while most is None or rounds < most:
         reach = active.join(e.withColumnRenamed("src", "target"), [*keys, "target"]).select(*keys, "source", F.col("dst").alias("target"), (F.col("distance") + F.col("w")).alias("distance"))
         new = scratch.cut(best.unionByName(reach).groupBy(*keys, "source", "target").agg(F.min("distance").alias("distance")), "best")
-        active = scratch.cut(new.join(best, [*keys, "source", "target", "distance"], "left_anti"), "active")
-        best = new
+        further = scratch.cut(new.join(best, [*keys, "source", "target", "distance"], "left_anti"), "active")
+        scratch.drop(best, active)
+        best, active, rounds = new, further, rounds + 1
         if not active.limit(1).count():
             break
     return best

@@ -283,7 +283,20 @@ def transition_graph(spark, base):
 
 @query(f"WITH RECURSIVE {REL}, m AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) AS w FROM e GROUP BY ALL), s AS (SELECT min(src) AS id FROM m), p AS (SELECT id AS source, id AS target, 0.0::DOUBLE AS d, 0 AS k FROM s UNION SELECT p.source, m.dst, round(min(p.d + m.w), 9), p.k + 1 FROM p JOIN m ON p.target = m.src WHERE p.k < 8 GROUP BY p.source, m.dst, p.k) SELECT source, target, round(min(d), 6) AS distance FROM p GROUP BY ALL")
 def dijkstra_paths(spark, base):
-    """Least-weight distances from the smallest vertex, up to 8 steps; frequent edges are short."""
-    m = G.mega_graph(patient_edges(spark, base), "relationship").withColumn("w", 1.0 / F.col("weight"))
-    start = m.agg(F.min("src").alias("id"))
-    return G.weighted_paths(m, Scratch(spark, "dijkstra"), "w", start, most=8).withColumn("distance", F.round("distance", 6))
+    """Least-weight distances from the smallest vertex, the one source its SQL names; frequent edges are short.
+
+    ``dijkstra_all_paths`` starts from every vertex.
+    """
+    m = _lengths(spark, base)
+    return G.weighted_paths(m, Scratch(spark, "dijkstra"), "w", m.agg(F.min("src").alias("id"))).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def dijkstra_all_paths(spark, base):
+    """Least-weight distances of the merged graph from every vertex, however many edges they take."""
+    m = _lengths(spark, base)
+    return G.weighted_paths(m, Scratch(spark, "dijkstra"), "w", G.vertices_of(m, [])).withColumn("distance", F.round("distance", 6))
+
+
+def _lengths(spark, base):
+    return G.mega_graph(patient_edges(spark, base), "relationship").withColumn("w", 1.0 / F.col("weight"))

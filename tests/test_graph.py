@@ -109,3 +109,26 @@ def test_empty_graph(spark):
     e = edges(spark, [])
     assert G.pagerank(e, Scratch(spark, "t"), ["g"]).count() == 0 and G.components(e, Scratch(spark, "t"), ["g"]).count() == 0
     assert G.betweenness(e, Scratch(spark, "t"), ["g"]).count() == 0
+
+
+def test_dijkstra_is_whole(spark, tmp_path):
+    """A chain of 11 light edges is followed to its end, from every vertex and from the smallest one."""
+    from corvigraph.queries.graphs import dijkstra_all_paths, dijkstra_paths
+
+    names = "abcdefghijklm"
+    rows = [(f"p{k}", 100 * k + i, x, y, "causes") for k in range(4) for i, (x, y) in enumerate(zip(names, names[1:]))] + [("p0", 1000 + i, x, "m", "causes") for i, x in enumerate("abc")] + [("p0", 2000, "z", "y", "causes")]
+    # four patients: each step weighs 1/4, so a-m costs 3 by the chain and 1 by the short cut; a-l only the chain
+    spark.createDataFrame(rows, "patient_rowkey string, rel_id long, source_entity_name string, target_entity_name string, relationship_type string").write.parquet(f"{tmp_path}/clinical_relationships.parquet")
+    edges = {}
+    for p, _, x, y, _ in rows:
+        edges.setdefault((x, y), set()).add(p)
+    every = sorted({v for e in edges for v in e})
+    best = {(v, v): 0.0 for v in every}
+    for _ in every:
+        for (s, t), d in list(best.items()):
+            for (x, y), who in edges.items():
+                if x == t and d + 1 / len(who) < best.get((s, y), 1e9):
+                    best[s, y] = d + 1 / len(who)
+    found = {(r.source, r.target): r.distance for r in dijkstra_all_paths(spark, str(tmp_path)).collect()}
+    assert found == {k: round(d, 6) for k, d in best.items()} and found["a", "l"] == 2.75
+    assert {(r.source, r.target): r.distance for r in dijkstra_paths(spark, str(tmp_path)).collect()} == {k: d for k, d in found.items() if k[0] == "a"}
