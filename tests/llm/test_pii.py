@@ -53,3 +53,17 @@ def test_disclosure_ranks_names_above_clinical_words(spark):
     rows, _ = corpus()
     d = {r.term: r.disclosure for r in pii.disclosure_table(spark.createDataFrame(rows, "field string, row_id long, text string")).collect()}
     assert min(d[w.lower()] for w in FIRST) > pii.THRESHOLD and d.get("vomiting", 0) < pii.BESIDE
+
+
+def test_copies_of_a_text_do_not_move_the_bar(spark):
+    """Copies with a cue, a third of all rows, and copies of a name without one: counts, bar and found names stay."""
+    rows = [("f", i, f"{'abcdefghijklmnopqrst'[i % 20]}{i} effusion of the left hip, no name here at visit {i}.") for i in range(400)]
+    rows += [("f", 1000 + i, f"Spoke with Mara {x} this morning, visit {i}.") for i, x in enumerate(LAST * 4)]
+    rows += [("f", 2000 + i, f"Seen by {x}, call {i}.") for i, x in enumerate(LAST)]
+    table = lambda r: spark.createDataFrame(r, "field string, row_id long, text string")
+    cue = [("f", 3000 + i, "Spoke with Edwin Torvaldsen at noon.") for i in range(220)]
+    bare = [("f", 4000 + i, "Brackwell called about the drops.") for i in range(200)]
+    count = lambda r: {x.term: (x.texts, x.named, round(x.disclosure, 9)) for x in pii.disclosure_table(table(r)).collect()}
+    assert count(rows + cue + bare) == count(rows + cue[:1] + bare[:1])
+    found = {(r.row_id, r.item) for r in pii.found_items(table(rows + cue + bare)).collect() if r.kind == "name"}
+    assert {(1000 + i, f"Mara {x}") for i, x in enumerate(LAST * 4)} | {(2000 + i, x) for i, x in enumerate(LAST)} <= found
