@@ -69,22 +69,25 @@ def p2_ngrams(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, base: str) -> DataFrame:
+    """(report_id, field, digest, text) of the long sections; the digest tells different texts of one report_id apart."""
     reports = table(spark, base, "reports_lean").select("report_id", "findings", "conclusions")
-    long = reports.select("report_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("findings", "conclusions")])).alias("s"))
-    return long.select("report_id", "s.field", "s.text").where(F.length("text") > splitting.LIMIT)
+    each = reports.select("report_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("findings", "conclusions")])).alias("s"))
+    return each.select("report_id", "s.field", F.md5("s.text").alias("digest"), "s.text").where(F.length("text") > splitting.LIMIT)
+
+
+_SECTION = ["report_id", "field", "digest"]
 
 
 def p3_pieces(spark: SparkSession, base: str) -> DataFrame:
-    keys = ["report_id", "field"]
-    ranges = Scratch(spark, "p3").cut(splitting.ranges_of(_sections(spark, base).distinct(), keys), "ranges")
-    return splitting.pieces_of_ranges(ranges, splitting.cut_table(ranges, keys), keys)
+    ranges = splitting.text_ranges(_sections(spark, base), _SECTION)
+    return splitting.pieces_of_ranges(ranges, splitting.cut_table(ranges, _SECTION), _SECTION).drop("digest")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
-    keys = ["report_id", "field"]
-    ranges = splitting.ranges_of(_sections(spark, base).distinct(), keys)
-    cut = F.when(F.col("stretch") > splitting.LIMIT, "forced").otherwise("natural")
-    return splitting.longest_stretch(ranges, keys).select("report_id", "field", cut.alias("cut"))
+    """A text is cut by force if one of its cuts lies in a stretch that is too long."""
+    cuts = splitting.cut_table(splitting.text_ranges(_sections(spark, base), _SECTION), _SECTION)
+    cut = F.when(F.bool_or("over"), "forced").otherwise("natural")
+    return cuts.groupBy(*_SECTION).agg(cut.alias("cut")).select("report_id", "field", "cut").distinct()
 
 
 # --- 4: terms that stand together
