@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
+from ..plans.skew import spread_join
 
 
 def build_edges(relations: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -105,19 +106,21 @@ def components(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = ()) ->
     """(keys, id, component): the smallest id of the weakly connected component.
 
     Min-label propagation with a jump to the label's own label each round, so that long chains close in
-    about log2(length) rounds.
+    about log2(length) rounds. Edges of a hub and labels of a giant component are spread over tasks.
     """
     keys = list(keys)
     both = scratch.cut(undirected(edges, keys), "both")
     labels = scratch.cut(vertices_of(edges, keys).withColumn("component", F.col("id")), "labels")
     while True:
-        near = both.join(labels.select(*keys, F.col("id").alias("dst"), "component"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id")).agg(F.min("component").alias("near"))
+        near = spread_join(both, labels.select(*keys, F.col("id").alias("dst"), "component"), [*keys, "dst"])
+        near = near.groupBy(*keys, F.col("src").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, [*keys, "id"], "left").select(*keys, "id", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        step = scratch.cut(step, "step")
         jump = step.select(*keys, F.col("id").alias("component"), F.col("component").alias("further"))
-        new = step.join(jump, [*keys, "component"], "left").select(*keys, "id", F.least("component", F.coalesce("further", "component")).alias("component"), "before")
+        new = spread_join(step, jump, [*keys, "component"], "left").select(*keys, "id", F.least("component", F.coalesce("further", "component")).alias("component"), "before")
         new = scratch.cut(new, "labels")
         changed = new.where("component != before").limit(1).count()
-        scratch.drop(labels)
+        scratch.drop(labels, step)
         path = new._corvigraph_path
         labels = new.drop("before")
         labels._corvigraph_path = path

@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a fresh local folder."""
+    """The folder named by spark.checkpoint.dir; where that is unset on one machine (tests), a fresh local folder.
+
+    On a cluster a machine's own folder would lose rows, so there an unset folder is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corvigraph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
