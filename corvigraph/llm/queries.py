@@ -126,7 +126,8 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 # --- 5: groups of mentions and names
 
-#: Names that say only that none is known or given, by their normal form without signs.
+#: Names that say only that none is known or given, by their normal form without signs: the default of a parameter of
+#: ``name_links``, in the four languages of the tables. Placeholders of another collection are given there.
 NO_NAMES = [
     "", "a confirmer", "anon", "anonymous", "aucun", "blank", "desconocida", "desconocido", "empty", "inconnu", "inconnue", "k a", "kein name", "keine angabe", "missing", "n a", "n d", "n k", "na",
     "name not given", "name not known", "name unknown", "nan", "nd", "nicht angegeben", "nicht bekannt", "nil", "ninguno", "nk", "no data", "no disponible", "no especificado", "no name", "no name given", "no name known", "non connu", "non précisé", "non renseigne", "non renseigné",
@@ -135,12 +136,12 @@ NO_NAMES = [
 ]
 
 
-def name_links(records: DataFrame) -> DataFrame:
-    """(x, y): normal forms of each entry's mention and name. Entries without a real name link nothing."""
+def name_links(records: DataFrame, no_names: list[str] = NO_NAMES) -> DataFrame:
+    """(x, y): normal forms of each entry's mention and name. Entries whose name is null, blank or one of ``no_names`` link nothing."""
     entries = records.where("entity_map IS NOT NULL").select(F.explode("entity_map").alias("mention", "value")).select("mention", F.col("value.name").alias("name")).where("name IS NOT NULL").distinct()
     links = entries.select(normal_form_col("mention").alias("x"), normal_form_col("name").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     bare = F.trim(F.regexp_replace("y", r"[^\p{L}\p{N}]+", " "))
-    return links.where(~bare.isin(NO_NAMES))
+    return links.where(~bare.isin(no_names))
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:

@@ -39,3 +39,16 @@ def test_entries_without_a_name_link_nothing(spark):
     maps = [({"a": entry("B"), "c": None, "d": entry(None), "e": entry(" "), "f": entry("Unknown"), "g": entry("n/a"), "h": entry("?"), " ": entry("x")},), ({},), (None,)]
     df = spark.createDataFrame(maps, "entity_map map<string,struct<type:string,name:string>>")
     assert [tuple(r) for r in name_links(df).collect()] == [("a", "b")]
+
+
+def test_a_star_of_a_hundred_thousand_and_a_chain(spark):
+    star = spark.range(100_000).selectExpr("'hub' AS x", "concat('leaf', id) AS y")
+    chain = spark.range(300).selectExpr("concat('n', lpad(id, 4, '0')) AS x", "concat('n', lpad(id + 1, 4, '0')) AS y")
+    got = groups.named_groups(star.union(chain), Scratch(spark, "t"), least=5_000)
+    assert {(r.group_name, r["count"]) for r in got.groupBy("group_name").count().collect()} == {("hub", 100_001), ("n0000", 301)}
+
+
+def test_ranks_follow_the_order_of_names(spark):
+    names = [f"n{i * 7919 % 1000}" for i in range(1000)] + ["é", "Z", ""]
+    got = groups.ranked(spark.createDataFrame([(n,) for n in names], "name string"), Scratch(spark, "t")).collect()
+    assert [r.name for r in sorted(got, key=lambda r: r.id)] == sorted(names, key=str.encode) and {r.id for r in got} == set(range(len(names)))
