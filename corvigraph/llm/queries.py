@@ -106,6 +106,7 @@ def _basket_versions(rag: DataFrame) -> DataFrame:
 
 
 def _pair_scores(spark: SparkSession, base: str, least: int) -> DataFrame:
+    """The state after two batches, each merged into it: the rows as of nine tenths of the way, then what changed since."""
     rag, scratch = table(spark, base, "rag_entities"), Scratch(spark, "p4")
     versions = scratch.cut(_basket_versions(rag), "versions")
     state = pairs.PairTable(scratch)
@@ -116,7 +117,7 @@ def _pair_scores(spark: SparkSession, base: str, least: int) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     """Every pair with its counts, lift and normalised pointwise mutual information."""
-    return _pair_scores(spark, base, 1).select(F.col("a").alias("term_a"), F.col("b").alias("term_b"), "n", "n_a", "n_b", "lift", "npmi")
+    return _pair_scores(spark, base, 1).select(F.col("a").alias("term_a"), F.col("b").alias("term_b"), "n", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("npmi", 6).alias("npmi"))
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:

@@ -99,3 +99,29 @@ def test_pairs_of_nothing(spark):
     state = pairs.PairTable(Scratch(spark, "t"))
     state.apply(spark.createDataFrame([(None, None), (None, []), (["a"], ["a", "a", None])], "old array<string>, new array<string>"))
     assert state.scores(spark.createDataFrame([(3,)], "total long")).count() == 0
+
+
+def test_state_is_opened_again_and_only_the_affected_is_written(spark, tmp_path):
+    where, total = f"file://{tmp_path}/state", spark.createDataFrame([(4,)], "total long")
+    schema = "old array<string>, new array<string>"
+    first = pairs.PairTable(Scratch(spark, "t"), 8, where)
+    first.apply(spark.createDataFrame([(None, ["a", "b"]), (None, ["a", "b", "c"]), (None, ["x", "y"]), (None, ["y", "z"])], schema))
+    files = dict(first.pairs.state["files"])
+    again = pairs.PairTable(Scratch(spark, "t"), 8, where)
+    hit = again.apply(spark.createDataFrame([(["x", "y"], ["x", "z"])], schema))
+    assert {(r.a, r.b, r.n, r.n_a, r.n_b) for r in hit.collect()} == {("x", "z", 1, 1, 2), ("y", "z", 1, 1, 2)}
+    kept = {b for b, w in again.pairs.state["files"].items() if files.get(b) == w}
+    assert kept  # buckets of other pairs keep their files
+    third = pairs.PairTable(Scratch(spark, "t"), 8, where)
+    third.vacuum()
+    got = {(r.a, r.b): (r.n, r.n_a, r.n_b) for r in third.scores(total).collect()}
+    assert got == {("a", "b"): (2, 2, 2), ("a", "c"): (1, 2, 1), ("b", "c"): (1, 2, 1), ("x", "z"): (1, 1, 2), ("y", "z"): (1, 1, 2)}
+
+
+def test_buckets_grow(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PER_BUCKET", 5)
+    state = pairs.PairTable(Scratch(spark, "t"), 1)
+    words = [f"w{i}" for i in range(9)]
+    state.apply(spark.createDataFrame([(None, words[:4])], "old array<string>, new array<string>"))
+    state.apply(spark.createDataFrame([(words[:4], words)], "old array<string>, new array<string>"))
+    assert state.pairs.state["buckets"] == 8 and state.pairs.read().count() == 36 and state.items.read().count() == 9
