@@ -125,3 +125,26 @@ def test_buckets_grow(spark, monkeypatch):
     state.apply(spark.createDataFrame([(None, words[:4])], "old array<string>, new array<string>"))
     state.apply(spark.createDataFrame([(words[:4], words)], "old array<string>, new array<string>"))
     assert state.pairs.state["buckets"] == 8 and state.pairs.read().count() == 36 and state.items.read().count() == 9
+
+
+def test_long_values_are_counted_whole(spark):
+    long = " ".join(f"w{i % 7}" for i in range(5_000))
+    items = [("a", "c1", long), ("a", "c2", long), ("a", "c2", long), ("a", "c3", long + " x"), ("a", "c3", "w0 w1"), ("a", "c4", " ".join(["w0"] * 4)), ("a", "c5", " ".join(["w0"] * 5))]
+    df = spark.createDataFrame(items, "field string, record string, term string")
+    for depth in (3, 4, 32):
+        for only in (True, False):
+            counts = term_counts.ngram_counts(df, Scratch(spark, "t"), 4_000, only, depth)
+            whole = {r.term: (r.occurrences, r.records) for r in term_counts.value_counts(counts).collect()}
+            assert whole == {long: (3, 2), long + " x": (1, 1), "w0 w1": (1, 1), " ".join(["w0"] * 4): (1, 1), " ".join(["w0"] * 5): (1, 1)}
+    plain = {r.ngram.replace(term_counts.SEP, " "): (r.occurrences, r.records) for r in term_counts.ngram_counts(df, Scratch(spark, "t"), 4_000, False, 3).collect() if not set(r.ngram) & {term_counts.BEGIN, term_counts.END}}
+    assert plain == {g.replace("_", " "): v for (_, g), v in brute(short_grams(items, 3)).items()}
+
+
+def short_grams(items, n):
+    """Items as single n-grams, so that brute() counts each once: those of up to ``n`` words."""
+    out = []
+    for f, c, t in items:
+        w = t.split(" ")
+        for k in range(1, n + 1):
+            out += [(f, c, "_".join(w[i : i + k])) for i in range(len(w) - k + 1)]
+    return out
