@@ -2,9 +2,11 @@
 
 Items are dealt by hash into partitions of bounded size. Each partition packs by best-fit decreasing and
 computes lower bounds of its bin count from dual-feasible functions; where count and bound agree, the
-partition is certified and done. Partitions with a gap keep their fuller bins and exchange the documents
-of the emptiest: the leavings of two neighbours form one partition, which is packed again; so on until nothing
-is left to exchange or one partition holds all leavings.
+partition is certified, and all its bins but the emptiest are done. A partition with a gap keeps its fuller
+bins and gives the documents of its emptiest, eight for each bin of the gap, into the exchange, as all give
+their emptiest one. What is in the exchange is dealt anew over partitions of the same bounded size and
+packed again, until one partition holds it or a round saves no bin. Every document of a bin that is given
+takes part; no partition ever grows beyond its size.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ from pyspark.sql import functions as F
 from ..plans.scratch import Scratch
 
 CAPACITY = 4096
-#: Largest k of the rounding functions u_k tried for a bound.
-MOST_K = 30
-#: Most bins that a partition hands on for repacking; it keeps the fuller ones.
-EXCHANGED = 64
+#: Pieces that are packed in one task.
+PER_PARTITION = 4_000
+#: Largest k of the rounding functions u_k tried for a bound. More of them could only raise a bound.
+MOST_K = 100
+#: Bins that a partition gives into the exchange for each bin of its gap.
+GIVEN = 8
 
 
-def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing of ``sizes`` needs: the best of several dual-feasible functions.
+def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing of ``sizes``, each ``counts`` times, needs: the best of several dual-feasible functions.
 
     A function u on [0, 1] is dual feasible if sizes that fit in one bin have values of at most 1 in sum,
     so that the sum of all values bounds the bins. Tried are the identity, the family that raises sizes
@@ -35,21 +39,23 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     """
     if not len(sizes):
         return 0
-    s = np.sort(np.asarray(sizes, np.int64))
-    best = -(-int(s.sum()) // capacity)
-    total = np.r_[0, np.cumsum(s)]
+    order = np.argsort(sizes, kind="stable")
+    s = np.asarray(sizes, np.int64)[order]
+    n = np.ones(len(s), np.int64) if counts is None else np.asarray(counts, np.int64)[order]
+    best = -(-int((s * n).sum()) // capacity)
+    total, number = np.r_[0, np.cumsum(s * n)], np.r_[0, np.cumsum(n)]
     small = np.unique(s[2 * s <= capacity])
     low = np.searchsorted(s, small, "left")
     high = np.searchsorted(s, capacity - small, "right")
-    values = (total[high] - total[low]) + (len(s) - high) * capacity  # for each e: the sizes from e to 1 - e, and bins of their own
+    values = (total[high] - total[low]) + (number[-1] - number[high]) * capacity  # for each e: the sizes from e to 1 - e, and bins of their own
     if len(values):
         best = max(best, int(-(-values.max() // capacity)))
-    best = max(best, int((2 * s > capacity).sum()))
+    best = max(best, int(n[2 * s > capacity].sum()))
     for k in range(1, MOST_K + 1):
         scaled = (k + 1) * s
         exact = scaled % capacity == 0
         # k * capacity * u_k: k * s where (k + 1) x is whole, else capacity * floor((k + 1) x)
-        value = np.where(exact, k * s, capacity * (scaled // capacity)).sum()
+        value = (np.where(exact, k * s, capacity * (scaled // capacity)) * n).sum()
         best = max(best, int(-(-int(value) // (k * capacity))))
     return best
 
@@ -119,45 +125,56 @@ def _packer(number: int, final: bool, capacity: int, columns: list[str]):
         used, bound = int(bins.max()) + 1, lower_bound(sizes, capacity)
         fill = np.bincount(bins, weights=sizes).astype(np.int64)
         done = np.full(used, True)
-        if not final:  # certified: at most one bin with much space goes on; else the emptiest, by the gap
-            most = 1 if used == bound else min(EXCHANGED, 8 * (used - bound))
-            poor = np.argsort(fill, kind="stable")[:most]
-            done[poor] = fill[poor] * 50 >= capacity * 49
+        if not final:
+            poor = np.argsort(fill, kind="stable")[: max(1, GIVEN * (used - bound))]
+            done[poor] = fill[poor] == capacity
         order = np.argsort(bins, kind="stable")
         place = np.empty(len(bins), np.int64)
         starts = np.r_[0, np.cumsum(np.bincount(bins))[:-1]]
         place[order] = np.arange(len(bins)) - starts[bins[order]] + 1
-        return pdf.assign(round=number, bin=bins, place=place, fill=fill[bins], done=done[bins], items=len(pdf), bins=int(done.sum()), bound=bound)[columns]
+        return pdf.assign(round=number, bin=bins, place=place, fill=fill[bins], done=done[bins], items=len(pdf), used=used, bins=int(done.sum()), bound=bound)[columns]
 
     return one
 
 
-def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, per_partition: int = 20_000, rounds: int = 40) -> tuple[DataFrame, DataFrame]:
-    """(placed, report). placed: ``pieces`` with container and place; report: (round, part, items, tokens, bins, bound).
+def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> tuple[DataFrame, DataFrame]:
+    """(placed, report). placed: ``pieces`` with container and place; report: (round, part, items, tokens, used, bins, bound).
 
-    ``pieces`` has doc_id, piece_no, first_byte, bytes, tokens (1 to ``capacity``). ``per_partition`` pieces
-    are packed in one task. Containers are strings, unique over all rounds; place counts from 1. report
-    has a row for each partition of each round; ``bins`` are those it closed in that round.
+    ``pieces`` has doc_id, piece_no, first_byte, bytes, tokens (1 to ``capacity``). About ``per_partition``
+    pieces are packed in one task. Containers are strings, unique over all rounds; place counts from 1.
+    report has a row for each partition of each round: the bins it ``used``, those it closed (``bins``) and
+    the certified ``bound``. Two numbers a round come to the driver.
     """
-    count = pieces.agg(F.count(F.lit(1))).first()[0]
+    count = pieces.count()
     parts = max(1, math.ceil(count / per_partition))
     typed = dict(pieces.dtypes)["doc_id"]
     item = f"doc_id {typed}, piece_no int, first_byte long, bytes long, tokens long"
-    schema = f"round int, part long, bin long, place int, fill long, done boolean, items int, bins int, bound int, {item}"
-    left = pieces.select("doc_id", "piece_no", "first_byte", "bytes", "tokens", F.pmod(F.xxhash64("doc_id", "piece_no", "first_byte"), F.lit(parts)).alias("part"))
+    schema = f"round int, part long, bin long, place int, fill long, done boolean, items int, used int, bins int, bound int, {item}"
     columns = [c.split()[0] for c in schema.split(", ")]
-    placed, reports, number = None, None, 0
+    names = ["doc_id", "piece_no", "first_byte", "bytes", "tokens"]
+    deal = lambda df, number, parts: df.select(*names, F.pmod(F.xxhash64(F.lit(number), "doc_id", "piece_no", "first_byte"), F.lit(parts)).alias("part"))
+    left = deal(pieces, 0, parts)
+    placed, reports, number, given = None, None, 0, None
     while True:
-        final = parts == 1 or number >= rounds
-
+        final = parts == 1
         packed = scratch.cut(left.groupBy("part").applyInPandas(_packer(number, final, capacity, columns), schema), f"round{number}")
-        closed = packed.where("done")
-        placed = closed if placed is None else placed.unionByName(closed)
-        report = packed.groupBy("round", "part").agg(F.first("items").alias("items"), F.sum("tokens").alias("tokens"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
+        report = packed.groupBy("round", "part").agg(F.first("items").alias("items"), F.sum("tokens").alias("tokens"), F.first("used").alias("used"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         reports = report if reports is None else reports.unionByName(report)
-        if final:
+        used, closed = report.agg(F.coalesce(F.sum("used"), F.lit(0)), F.coalesce(F.sum("bins"), F.lit(0))).first()
+        over = final or given is not None and used >= given  # a round that saves nothing is the last
+        done = packed if over else packed.where("done")
+        placed = done if placed is None else placed.unionByName(done)
+        if over:
             break
-        number, parts = number + 1, (parts + 1) // 2
-        left = packed.where("not done").select("doc_id", "piece_no", "first_byte", "bytes", "tokens", F.floor(F.col("part") / 2).alias("part"))
-    out = placed.select(F.concat_ws("-", "round", "part", "bin").alias("container"), "place", "fill", "doc_id", "piece_no", "first_byte", "bytes", "tokens")
+        rest = packed.where("NOT done")
+        number, given = number + 1, used - closed
+        parts = max(1, math.ceil(rest.count() / per_partition))
+        left = deal(rest, number, parts)
+    out = placed.select(F.concat_ws("-", "round", "part", "bin").alias("container"), "place", "fill", *names)
     return out, reports
+
+
+def whole_bound(pieces: DataFrame, capacity: int = CAPACITY) -> int:
+    """Bins that any packing of all ``pieces`` needs. Its input is one row for each size, so at most ``capacity`` rows come to the driver."""
+    sizes = pieces.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    return lower_bound(sizes["tokens"].to_numpy(np.int64), capacity, sizes["n"].to_numpy(np.int64))

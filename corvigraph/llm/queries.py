@@ -153,25 +153,29 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 # --- 6: containers
 
 
-def _packed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+def _packed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     scratch = Scratch(spark, "p6")
-    return packing.pack(scratch.cut(packing.sized_pieces(table(spark, base, "documents")), "pieces"), scratch)
+    pieces = scratch.cut(packing.sized_pieces(table(spark, base, "documents")), "pieces")
+    return pieces, *packing.pack(pieces, scratch)
 
 
 def p6_containers(spark: SparkSession, base: str) -> DataFrame:
-    return _packed(spark, base)[0]
+    return _packed(spark, base)[1]
 
 
 def p6_report(spark: SparkSession, base: str) -> DataFrame:
-    """Containers, the certified lower bounds and the share of space used."""
-    placed, report = _packed(spark, base)
+    """Containers, the fewest that any packing of all pieces needs (certified), the partitions whose first packing was certified, and the share of space used."""
+    pieces, placed, report = _packed(spark, base)
     used = placed.agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
-    bound = report.where("round = 0").agg(F.sum("bound").alias("bound_of_partitions"))
-    return used.crossJoin(bound).withColumn("bound_of_volume", F.ceil(F.col("tokens") / packing.CAPACITY)).withColumn("filled", F.col("tokens") / (F.col("containers") * packing.CAPACITY))
+    first = report.where("round = 0").agg(F.count(F.lit(1)).alias("partitions"), F.count_if(F.col("used") == F.col("bound")).alias("certified"))
+    out = used.crossJoin(first).withColumn("bound", F.lit(packing.whole_bound(pieces)))
+    return out.withColumn("filled", F.try_divide(F.col("tokens").cast("double"), F.col("containers") * packing.CAPACITY))
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return _packed(spark, base)[0].where("piece_no > 1").select("doc_id").distinct()
+    """Documents that the packing put into more than one container: those that did not fit in one."""
+    placed = _packed(spark, base)[1]
+    return placed.groupBy("doc_id").agg(F.max("piece_no").alias("pieces"), F.countDistinct("container").alias("containers")).where("pieces > 1 AND containers > 1").select("doc_id")
 
 
 # --- 7: mixing
@@ -186,7 +190,8 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
-    return mixing.source_rates(table(spark, base, "documents"), table(spark, base, "mix_targets")).where("NOT reachable").select("source")
+    """Sources that have used up all their documents in the mix and still miss their target."""
+    return mixing.unreachable(table(spark, base, "documents"), table(spark, base, "mix_targets")).select("source")
 
 
 # --- 8: subject areas

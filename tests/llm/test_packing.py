@@ -54,3 +54,16 @@ def test_empty_and_bad_capacity(spark):
     assert P.pack(P.sized_pieces(empty), Scratch(spark, "t"))[0].count() == 0
     with pytest.raises(ValueError):
         P.sized_pieces(empty, 3)
+
+
+def test_exchange_saves_containers_and_keeps_partitions_bounded(spark):
+    rng = random.Random(9)
+    df = documents(spark, ["x" * rng.choice([34, 35, 26, 48, 51, 20, 66]) for _ in range(1_500)])
+    pieces = P.sized_pieces(df, 100)
+    placed, report = P.pack(pieces, Scratch(spark, "t"), 100, 100)
+    rows = report.collect()
+    assert max(r.round for r in rows) >= 1 and max(r["items"] for r in rows) < 200
+    first, closed = sum(r.used for r in rows if r.round == 0), placed.select("container").distinct().count()
+    bound = P.whole_bound(pieces, 100)
+    assert bound <= closed <= first and placed.count() == 1_500
+    assert bound == P.lower_bound(np.array([r.tokens for r in pieces.collect()]), 100)
