@@ -41,3 +41,20 @@ def test_empty(spark):
     d, t = tables(spark)
     assert M.document_uses(d.limit(0), t).count() == 0 and M.document_uses(d, t.limit(0)).count() == 0
     assert {x.rate for x in M.source_rates(d.limit(0), t).collect()} == {0.0}
+
+
+def test_no_target_and_unreachable_by_emission(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(4):
+        names = [f"s{i}" for i in range(6)]
+        docs = [(i, "x" * rng.randrange(1, 400), rng.choice(names[:5])) for i in range(60)]
+        rows = [(n, rng.choice([0.0, 0.05, 0.1, 0.3, 0.6]), rng.choice([1, 1, 2, 4])) for n in names] + [("null", None, None)]
+        d, t = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(rows, TARGETS)
+        size = {n: sum(len(x) + 1 for _, x, s in docs if s == n) for n in names}
+        total = sum(size.values())
+        want = {n for n, share, most in rows[:-1] if most * size[n] < share * total}
+        assert {r.source for r in M.unreachable(d, t).collect()} == want
+        rates = {r.source: r.rate for r in M.source_rates(d, t).collect()}
+        assert all(rates[n] == 0 for n, share, _ in rows if not share)
