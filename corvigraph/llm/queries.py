@@ -186,7 +186,8 @@ def p7_uses(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, base: str) -> DataFrame:
-    return mixing.mix_shares(table(spark, base, "documents"), table(spark, base, "mix_targets"))
+    s = mixing.mix_shares(table(spark, base, "documents"), table(spark, base, "mix_targets"))
+    return s.withColumns({"rate": F.round("rate", 9), "share": F.round("share", 9)})
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:

@@ -68,6 +68,55 @@ sizes AS (SELECT listed.source, target_share, max_uses, coalesce(sum(tokens), 0)
 """
 
 
+#: Boundaries become line feeds one for one; stretches between them give the offsets behind each. Then piece after piece is cut by recursion.
+_PIECES = r"""
+WITH RECURSIVE long AS (
+  SELECT DISTINCT report_id, field, text FROM (
+    SELECT report_id, 'findings' AS field, findings AS text FROM reports_lean UNION ALL
+    SELECT report_id, 'conclusions', conclusions FROM reports_lean) WHERE length(text) > 1200),
+parts AS (
+  SELECT report_id, field, text, string_split_regex(regexp_replace(text, '[.!?]([\s\x0b\x1c-\x1f\x85\p{Z}]|$)', chr(10) || '\1', 'g'), '[\n\r]') AS p FROM long),
+marks AS (
+  SELECT report_id, field, text, length(text)::BIGINT AS n,
+         list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x) + 1))::BIGINT) AS ends FROM parts),
+cuts AS (
+  SELECT report_id, field, text, n, ends, -1 AS piece_no, 0::BIGINT AS start, 0::BIGINT AS done, false AS forced, 0::BIGINT AS next FROM marks
+  UNION ALL
+  SELECT report_id, field, text, n, ends, piece_no, start, done, forced,
+    CASE WHEN done = n THEN n ELSE coalesce(list_min(list_filter(ends, lambda e: e >= done - reach AND e < done)), done - reach) END
+  FROM (
+    SELECT *, least(CASE WHEN run <= 1200 THEN greatest(0, least(120, 1200 - stretch)) ELSE 120 END, done - start - 1) AS reach
+    FROM (
+      SELECT *, coalesce(after, n) - done AS stretch, coalesce(after - 1, n) - done AS run
+      FROM (
+        SELECT report_id, field, text, n, ends, piece_no + 1 AS piece_no, next AS start,
+          CASE WHEN n <= next + 1200 THEN n WHEN coalesce(list_max(list_filter(ends, lambda e: e <= next + 1200)), 0) > done THEN list_max(list_filter(ends, lambda e: e <= next + 1200)) ELSE next + 1200 END AS done,
+          n > next + 1200 AND coalesce(list_max(list_filter(ends, lambda e: e <= next + 1200)), 0) <= done AS forced,
+          list_min(list_filter(ends, lambda e: e > CASE WHEN coalesce(list_max(list_filter(ends, lambda f: f <= next + 1200)), 0) > done THEN list_max(list_filter(ends, lambda f: f <= next + 1200)) ELSE next + 1200 END)) AS after
+        FROM cuts WHERE done < n)))
+)
+SELECT report_id, field, piece_no::INTEGER AS piece_no, start, done AS "end", forced, substring(text, start + 1, done - start) AS piece FROM cuts WHERE piece_no >= 0"""
+
+#: Water filling: the level at which the sources that their own cap stops, and the targets of the rest, give the whole mix.
+_RATES = """,
+plain AS (
+  SELECT listed.source, greatest(coalesce(target_share, 0), 0) AS share, coalesce(max_uses, 1) AS most, tokens, coalesce(max_uses, 1) * tokens AS cap, (SELECT sum(tokens) FROM sizes) AS total
+  FROM listed JOIN sizes USING (source, target_share, max_uses)),
+levels AS (
+  SELECT a.source, (a.total - coalesce((SELECT sum(b.cap) FROM plain b WHERE b.share > 0 AND (b.cap / b.share, b.source) < (a.cap / a.share, a.source)), 0))
+    / (SELECT sum(b.share) FROM plain b WHERE b.share > 0 AND (b.cap / b.share, b.source) >= (a.cap / a.share, a.source)) AS level, a.cap, a.share
+  FROM plain a WHERE a.share > 0),
+level AS (SELECT arg_min(greatest(level, 0), (cap / share, source)) AS level FROM levels WHERE greatest(level, 0) * share <= cap),
+rates AS (
+  SELECT source, share, most, tokens, total, cap,
+    CASE WHEN tokens = 0 OR share = 0 THEN 0 ELSE least(most::DOUBLE, least(cap, coalesce(level * share, cap)) / tokens) END::DOUBLE AS rate FROM plain, level),
+uses AS (
+  SELECT doc_id, rates.source, strlen(text) + 1 AS tokens,
+    (floor(rate) + CASE WHEN ('0x' || substring(md5('42-' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::INTEGER AS uses
+  FROM documents JOIN listed ON translate(lower(regexp_replace(documents.source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), ' -', '__') = key JOIN rates ON rates.source = listed.source WHERE text IS NOT NULL)
+"""
+
+
 def _p5() -> str:
     from .queries import NO_NAMES
 
@@ -94,7 +143,13 @@ SELECT report_id, field,
        THEN 'forced' ELSE 'natural' END AS cut
 FROM long""",
         "p4_found": f"WITH {_CURRENT} {_PAIRS} SELECT term_a, term_b FROM scored WHERE n >= 5 AND 1000 * n >= total AND n * total >= 3 * n_a * n_b",
+        "p3_pieces": _PIECES,
+        "p4_pairs": f"""WITH {_CURRENT} {_PAIRS} SELECT term_a, term_b, n, n_a, n_b, round(n * total / (n_a::DOUBLE * n_b), 6) AS lift,
+  round(CASE WHEN n < total THEN ln(n * total / (n_a::DOUBLE * n_b)) / -ln(n / total) ELSE 1 END, 6)::DOUBLE AS npmi FROM scored""",
         "p5_found": _p5(),
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096",
         "p7_found": _SOURCES + "SELECT source FROM sizes WHERE max_uses * tokens < target_share * (SELECT sum(tokens) FROM sizes)",
+        "p7_uses": _SOURCES + _RATES + "SELECT doc_id, source, tokens, uses FROM uses",
+        "p7_shares": _SOURCES + _RATES + """SELECT r.source, share AS target_share, cap >= share * total AS reachable, round(rate, 9) AS rate, coalesce(used, 0)::BIGINT AS used_tokens, round(coalesce(used, 0) / sum(coalesce(used, 0)) OVER (), 9)::DOUBLE AS share
+FROM rates r LEFT JOIN (SELECT source, sum(tokens * uses) AS used FROM uses GROUP BY source) u ON u.source = r.source""",
     }
