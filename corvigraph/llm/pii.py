@@ -16,16 +16,25 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+from ..plans.skew import spread_join
+
 THRESHOLD = 0.5
 #: Disclosure from which a term belongs to a name if a term above THRESHOLD stands beside it.
 BESIDE = 0.2
 #: Share of texts that name a person, for the information of a person. A constant, so that no corpus moves the bar: of the
 #: distinct strings of documents and reports of sf0.1 1.8 % name one. Half of that information (THRESHOLD) is 14 % of a term's texts.
 PERSON = 0.02
+#: Texts at that share that are added to every term's own, so that one sight of a term says less than many; what a cue counts
+#: that other things than persons follow as well ("from ..."). A term seen once, after such a cue, stays below THRESHOLD.
+SMOOTH, WEAK = 3.0, 0.5
+#: Most revealing terms that are sent to every task; more are brought to the texts by joins.
+MOST_SENT = 200_000
 KINDS = ("name", "email", "phone", "id_number", "address")
 
 # Words after which a text names a person; titles; words that join parts of a name.
@@ -34,8 +43,12 @@ CUES = [
     "history per", "madame", "miss", "mme", "monsieur", "mr", "mrs", "ms", "o", "owner", "prof", "propietaria", "propietario", "propriétaire", "referred by", "señor", "señora",
     "signed", "spoke with", "tierärztin", "tierarzt", "vet", "veterinarian",
 ]
+#: Cues of the list above that places, dates and things follow as well.
+WEAK_CUES = ["copy", "from", "o", "signed"]
 TITLES = ["dr", "frau", "herr", "madame", "miss", "mme", "monsieur", "mr", "mrs", "ms", "prof", "señor", "señora"]
 JOINERS = ["da", "de", "del", "den", "der", "di", "dos", "la", "le", "ten", "ter", "van", "von", "zu"]
+#: Words that lose their vowel before a name: not part of it.
+ELIDED = ["c", "d", "j", "l", "m", "n", "qu", "s", "t"]
 #: Words after or before an eponym that is a disease or sign.
 EPONYM_AFTER = ["anomaly", "ataxia", "complex", "contracture", "disease", "disorder", "grade", "lesion", "maladie", "node", "nodes", "phenomenon", "reflex", "score", "sign", "syndrome", "test", "tumour", "krankheit", "syndrom", "síndrome", "enfermedad"]
 EPONYM_BEFORE = ["enfermedad de", "maladie de", "morbus", "sign of", "signe de", "signo de", "syndrome de", "syndrome of", "síndrome de", "disease of", "test of"]
@@ -44,7 +57,7 @@ NUMBER_WORDS = ["zero", "oh", "one", "two", "three", "four", "five", "six", "sev
 _W = r"[^\W\d_]"
 _CAP = rf"[A-ZÀ-ÖØ-Þ]{_W}*(?:['’]{_W}+)?"
 _PART = rf"(?:{_CAP}|[A-ZÀ-ÖØ-Þ]\.|(?:{'|'.join(JOINERS)})\b)"
-_CUE = re.compile(rf"(?<!\w)(?i:{'|'.join(sorted(map(re.escape, CUES), key=len, reverse=True))})(?:\.|:|,)?\s+(?=[A-ZÀ-ÖØ-Þ])(?:(?i:{'|'.join(TITLES)})\.?\s+)?((?:{_PART}(?:,?[ \xa0]{{1,2}}|-))*{_CAP})")
+_CUE = re.compile(rf"(?<!\w)((?i:{'|'.join(sorted(map(re.escape, CUES), key=len, reverse=True))}))(?:\.|:|,)?\s+(?=[A-ZÀ-ÖØ-Þ])((?i:{'|'.join(TITLES)})\.?\s+)?((?:{_PART}(?:,?[ \xa0]{{1,2}}|-))*{_CAP})")
 _WORD = re.compile(rf"{_W}+")
 
 _AT, _DOT = r"(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?)", r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)"
@@ -96,35 +109,49 @@ _TOKEN = re.compile(rf"{_W}+(?:['’](?={_W}{{2}}){_W}+)?")
 _GAP, _COMMA = re.compile(r"[\s]{1,2}\Z"), re.compile(r",[\s]{1,2}\Z")
 
 
-def terms_of(text: str) -> tuple[set[str], set[str]]:
-    """Lower-case words of a text outside emails, and those in places where a person is named."""
+def terms_of(text: str) -> tuple[set[str], dict[str, float]]:
+    """Lower-case words of a text outside emails; of those in places where a person is named, how much that counts (1 or WEAK)."""
     bare = EMAIL.sub(" ", text)
     every = {w.lower() for w in _WORD.findall(bare)}
-    named: set[str] = set()
+    named: dict[str, float] = {}
     for m in _CUE.finditer(bare):
-        named.update(w.lower() for w in _WORD.findall(m.group(1)) if len(w) > 1)
-    return every, named - {*JOINERS, *TITLES}
+        weight = WEAK if m.group(1).lower() in WEAK_CUES and not m.group(2) else 1.0
+        for w in _WORD.findall(m.group(3)):
+            if len(w) > 1:
+                named[w.lower()] = max(weight, named.get(w.lower(), 0.0))
+    for w in (*JOINERS, *TITLES):
+        named.pop(w, None)
+    return every, named
 
 
 def _count_terms(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    every, named = Counter(), Counter()
+
+    def rows() -> pd.DataFrame:
+        out = pd.DataFrame([(w, n, float(named[w])) for w, n in every.items()], columns=["term", "texts", "named"])
+        every.clear()
+        named.clear()
+        return out
+
     for block in blocks:
-        every, named = Counter(), Counter()
         for text in block["text"]:
             a, b = terms_of(text)
             every.update(a)
             named.update(b)
-        yield pd.DataFrame([(w, n, named[w]) for w, n in every.items()], columns=["term", "texts", "named"])
+        if len(every) > 200_000:
+            yield rows()
+    yield rows()
 
 
 def disclosure_table(texts: DataFrame) -> DataFrame:
     """(term, texts, named, disclosure) over all ``texts``: how strongly each term reveals a person.
 
     Each distinct text counts once, so that copies move neither a term's share nor the bar. Counts are
-    summed per batch before the shuffle. Terms never named have no row.
+    summed in each task before the shuffle. Terms never named have no row.
     """
-    counts = texts.where("text IS NOT NULL").select("text").distinct().mapInPandas(_count_terms, "term string, texts long, named long").groupBy("term").agg(F.sum("texts").alias("texts"), F.sum("named").alias("named"))
-    gain = F.log(F.col("named") / F.col("texts"))
-    return counts.where("term != '' AND named > 0").select("term", "texts", "named", (1 + gain / -math.log(PERSON)).alias("disclosure"))
+    counts = texts.where("text IS NOT NULL").select("text").distinct().mapInPandas(_count_terms, "term string, texts long, named double").groupBy("term").agg(F.sum("texts").alias("texts"), F.sum("named").alias("named"))
+    share = (F.col("named") + SMOOTH * PERSON) / (F.col("texts") + SMOOTH)
+    return counts.where("term != '' AND named > 0").select("term", "texts", "named", (1 + F.log(share) / -math.log(PERSON)).alias("disclosure"))
 
 
 def _names(text: str, reveals: dict[str, bool], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -134,8 +161,12 @@ def _names(text: str, reveals: dict[str, bool], taken: list[tuple[int, int]]) ->
     """
     tokens = []
     for m in _TOKEN.finditer(text):
-        w = m.group()
-        if w.lower() in reveals:
+        w, start = m.group(), m.start()
+        parts = _WORD.findall(w.lower())
+        if len(parts) == 2 and parts[0] in ELIDED and w[0].islower():
+            start += len(parts[0]) + 1
+            w, parts = text[start : m.end()], parts[1:]
+        if any(p in reveals for p in parts):
             kind = "R"
         elif len(w) == 1 and w.isupper() and text[m.end() : m.end() + 1] == ".":
             kind = "I"
@@ -143,7 +174,7 @@ def _names(text: str, reveals: dict[str, bool], taken: list[tuple[int, int]]) ->
             kind = "J"
         else:
             kind = "O"
-        tokens.append((m.start(), m.end() + (kind == "I"), kind))
+        tokens.append((start, m.end() + (kind == "I"), kind, any(reveals.get(p) for p in parts)))
     i = 0
     while i < len(tokens):
         if tokens[i][2] == "O":
@@ -167,7 +198,7 @@ def _names(text: str, reveals: dict[str, bool], taken: list[tuple[int, int]]) ->
             if comma and tokens[run[-1]][2] == "I" and len(run) > 1:
                 break
             run.pop()
-        if run and any(reveals.get(text[tokens[k][0] : tokens[k][1]].lower()) for k in run):
+        if run and any(tokens[k][3] for k in run):
             start, end = tokens[run[0]][0], tokens[run[-1]][1]
             free = all(end <= a or start >= b for a, b in taken)
             if free and not _AFTER.match(text, end) and not _BEFORE.search(text[max(0, start - 30) : start]):
@@ -206,58 +237,92 @@ def find_items(text: str | None, reveals: dict[str, bool]) -> list[tuple[int, in
     return sorted(out)
 
 
-def with_revealing(texts: DataFrame, threshold: float = THRESHOLD, beside: float = BESIDE) -> DataFrame:
-    """``texts`` (field, row_id, text) with ``reveals``: the text's words of high disclosure, and if each reveals by itself.
+def revealing(texts: DataFrame, threshold: float = THRESHOLD, beside: float = BESIDE) -> DataFrame:
+    """(term, alone): terms of high disclosure in ``texts``, and if each reveals by itself or only beside one that does."""
+    return disclosure_table(texts).where(F.col("disclosure") >= min(threshold, beside)).select("term", (F.col("disclosure") >= threshold).alias("alone"))
 
-    The revealing terms grow with the corpus, so none are held on the driver: words meet them in a join
-    whose strategy Spark chooses by size, and only matches are gathered, by row.
-    """
-    strong = disclosure_table(texts).where(F.col("disclosure") >= min(threshold, beside)).select("term", (F.col("disclosure") >= threshold).alias("alone"))
-    words = texts.where("text IS NOT NULL").select("field", "row_id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))).alias("term"))
-    hits = words.join(strong, "term").groupBy("field", "row_id").agg(F.collect_set(F.struct("term", "alone")).alias("reveals"))
-    return texts.join(hits, ["field", "row_id"], "left")
 
+def _joined(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``texts`` with ``reveals``, the revealing terms of each, by joins: for more terms than a task may hold.
+
+    Each distinct text is split into words once; a Bloom filter of the terms (of bounded size, so it lets
+    some others pass) keeps most words out of the shuffle. Rows meet their terms by the text's digest, so
+    null and repeated ids are no matter, and copies of one text are spread over many tasks.
+    """
+    keyed = texts.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    sieve = _sieve(terms)
+    words = keyed.where("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"))
+    words = words.select("digest", F.explode(F.filter(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")), sieve)).alias("term"))
+    hits = words.join(terms, "term").groupBy("digest").agg(F.collect_list(F.struct("term", "alone")).alias("reveals"))
+    return spread_join(keyed, hits, ["digest"], "left")
+
+
+def _sieve(terms: DataFrame, bits: int = 1 << 22, hashes: int = 3):
+    """A test that all ``terms`` pass and few other words: a Bloom filter of half a megabyte, whatever their number."""
+    place = lambda word, i: F.pmod(F.xxhash64(F.lit(i), word), F.lit(bits))
+    spots = terms.select(F.explode(F.array(*[place(F.col("term"), i) for i in range(hashes)])).alias("p"))
+    held = spots.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("v")).toPandas()  # at most bits / 64 rows
+    table = np.zeros(bits // 64, np.int64)
+    table[held["w"].to_numpy(np.int64)] = held["v"].to_numpy(np.int64)
+    packed = F.lit(table.tobytes())
+    # a bit is read from its byte of the binary: little-endian words
+    bit = lambda p: F.conv(F.hex(F.substring(packed, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), (p % 8).cast("int"))) != 0
+    return lambda word: bit(place(word, 0)) & bit(place(word, 1)) & bit(place(word, 2))
+
+
+def _apply(texts: DataFrame, threshold: float, each, schema: str, most: int) -> DataFrame:
+    """``each`` (block, how a text's revealing terms are found) over the texts.
+
+    Up to ``most`` revealing terms go to every task, and the texts are read once and never shuffled;
+    beyond that they come by :func:`_joined`. The result is the same.
+    """
+    scratch = Scratch(texts.sparkSession, "p1")
+    terms = scratch.cut(revealing(texts, threshold), "terms")
+    if terms.count() <= most:
+        held = {r.term: r.alone for r in terms.collect()}
+        shared = texts.sparkSession.sparkContext.broadcast(held)
 
-def _known(reveals) -> dict[str, bool]:
-    return {} if reveals is None else {r["term"]: r["alone"] for r in reveals}
+        def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for block in blocks:
+                yield each(block, [shared.value] * len(block))
 
+        return texts.select("field", "row_id", "text").mapInPandas(run, schema)
 
-def _apply(each) -> object:
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in blocks:
-            yield each(block)
+            yield each(block, [{} if r is None else {x["term"]: x["alone"] for x in r} for r in block["reveals"]])
 
-    return run
+    return _joined(scratch.cut(texts.select("field", "row_id", "text"), "texts"), terms).select("field", "row_id", "text", "reveals").mapInPandas(run, schema)
 
 
-def found_items(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def found_items(texts: DataFrame, threshold: float = THRESHOLD, most: int = MOST_SENT) -> DataFrame:
     """(field, row_id, kind, item), distinct: each personal item exactly as it stands in its text."""
 
-    def each(block: pd.DataFrame) -> pd.DataFrame:
+    def each(block: pd.DataFrame, known: list[dict[str, bool]]) -> pd.DataFrame:
         rows = []
-        for field, row_id, text, reveals in zip(block["field"], block["row_id"], block["text"], block["reveals"]):
-            rows += [(field, row_id, kind, text[a:b]) for a, b, kind in find_items(text, _known(reveals))]
+        for field, row_id, text, reveals in zip(block["field"], block["row_id"], block["text"], known):
+            rows += [(field, row_id, kind, item) for kind, item in {(kind, text[a:b]) for a, b, kind in find_items(text, reveals)}]
         return pd.DataFrame(rows, columns=["field", "row_id", "kind", "item"])
 
     typed = dict(texts.dtypes)["row_id"]
-    return with_revealing(texts, threshold).select("field", "row_id", "text", "reveals").mapInPandas(_apply(each), f"field string, row_id {typed}, kind string, item string").distinct()
+    return _apply(texts, threshold, each, f"field string, row_id {typed}, kind string, item string", most).distinct()
 
 
-def redacted(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def redacted(texts: DataFrame, threshold: float = THRESHOLD, most: int = MOST_SENT) -> DataFrame:
     """(field, row_id, text): the texts with [NAME], [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] in place of items.
 
     All other wording is kept as it is; null stays null and empty stays empty; one row for each row.
     """
 
-    def each(block: pd.DataFrame) -> pd.DataFrame:
+    def each(block: pd.DataFrame, known: list[dict[str, bool]]) -> pd.DataFrame:
         out = []
-        for text, reveals in zip(block["text"], block["reveals"]):
+        for text, reveals in zip(block["text"], known):
             at, parts = 0, []
-            for a, b, kind in find_items(text, _known(reveals)):
+            for a, b, kind in find_items(text, reveals):
                 parts += [text[at:a], f"[{kind.upper()}]"]
                 at = b
             out.append(text if not parts else "".join([*parts, text[at:]]))
         return pd.DataFrame({"field": block["field"], "row_id": block["row_id"], "text": out})
 
     typed = dict(texts.dtypes)["row_id"]
-    return with_revealing(texts, threshold).select("field", "row_id", "text", "reveals").mapInPandas(_apply(each), f"field string, row_id {typed}, text string")
+    return _apply(texts, threshold, each, f"field string, row_id {typed}, text string", most)

@@ -67,3 +67,33 @@ def test_copies_of_a_text_do_not_move_the_bar(spark):
     assert count(rows + cue + bare) == count(rows + cue[:1] + bare[:1])
     found = {(r.row_id, r.item) for r in pii.found_items(table(rows + cue + bare)).collect() if r.kind == "name"}
     assert {(1000 + i, f"Mara {x}") for i, x in enumerate(LAST * 4)} | {(2000 + i, x) for i, x in enumerate(LAST)} <= found
+
+
+def test_names_with_apostrophes_null_ids_and_the_way_by_joins(spark):
+    rows = [(i, f"Spoke with Mrs O'Brien about the cough, visit {i}.") for i in range(6)] + [(None, "BRIEN phoned; O’Brien is the owner’s name."), (None, "Rappelé d'Anouk Lefèvre."), (7, None), (8, "")]
+    rows += [(20 + i, f"Madame Anouk Lefèvre a appelé {i}.") for i in range(6)] + [(20 + i, f"Madame Anouk Lefèvre a appelé {i}.") for i in range(6)]
+    texts = spark.createDataFrame([("f", i, t) for i, t in rows], "field string, row_id long, text string")
+    sent = {(r.row_id, r.kind, r.item) for r in pii.found_items(texts).collect()}
+    assert {(None, "name", "BRIEN"), (None, "name", "O’Brien"), (None, "name", "Anouk Lefèvre"), (0, "name", "O'Brien"), (20, "name", "Anouk Lefèvre")} <= sent
+    assert {(r.row_id, r.kind, r.item) for r in pii.found_items(texts, most=0).collect()} == sent
+    assert sorted(map(str, pii.redacted(texts, most=0).collect())) == sorted(map(str, pii.redacted(texts).collect()))
+
+
+def test_one_sight_after_a_weak_cue_is_no_person(spark):
+    texts = spark.createDataFrame([("f", 1, "Records came from London."), ("f", 2, "Spoke with Mrs Quarrington.")], "field string, row_id long, text string")
+    assert {r.item for r in pii.found_items(texts).collect()} == {"Quarrington"}
+
+
+def test_wording_outside_items_is_kept(spark):
+    import re
+
+    rows = [("f", i, f"Owner Tilda Marchbanks said cough since May {i}; call +44 20 7946 0{100 + i}. Grade 3/6 murmur, dose 12.5 mg.") for i in range(20)]
+    texts = spark.createDataFrame(rows, "field string, row_id long, text string")
+    items = {}
+    for r in pii.found_items(texts).collect():
+        items.setdefault(r.row_id, []).append(r.item)
+    for r in pii.redacted(texts).collect():
+        rest = dict((i, t) for _, i, t in rows)[r.row_id]
+        for item in items[r.row_id]:
+            rest = rest.replace(item, "\0")
+        assert re.sub(r"\[[A-Z_]+\]", "\0", r.text) == rest and "murmur, dose 12.5 mg" in r.text and "Marchbanks" not in r.text
