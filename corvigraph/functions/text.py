@@ -11,15 +11,18 @@ from pyspark.sql.types import DoubleType
 
 # Cue words of the assertion rules, in their order of precedence.
 ASSERTION_CUES = {
-    "absent": ["no ", "not ", "without", "absent", "negative for", "ruled out", "no evidence of", "denies"],
-    "possible": ["possible", "possibly", "suspected", "likely", "probable", "cannot exclude", "may represent", "concerning for", "suspicious for"],
-    "past": ["history of", "previous", "prior", "past", "old"],
+    "absent": ["no ", "without ", "absence of", "ruled out", "normal ", "unremarkable"],
+    "possible": ["possible", "suspected", "likely", "questionable", "may represent", "consider"],
+    "past": ["previous", "prior", "history of", "old", "chronic"],
 }
-# Terms that make a finding critical.
+# Findings that make a report critical, by region; some stand under two regions.
 CRITICAL_TERMS = [
-    "fracture", "pneumothorax", "hemothorax", "pleural effusion", "pulmonary edema", "mass", "nodule", "tumor", "neoplasia", "metastasis", "hemorrhage", "thrombus", "embolism",
-    "obstruction", "perforation", "torsion", "gdv", "volvulus", "rupture", "abscess", "peritonitis", "septic", "foreign body", "free gas", "free fluid", "luxation", "dislocation", "herniation",
-    "cord compression", "cardiomegaly", "heart failure", "lysis", "collapse",
+    "pneumothorax", "pleural effusion", "pulmonary nodule", "lung mass", "pulmonary metastases", "congestive heart failure", "chf", "cardiogenic edema",
+    "pulmonary thromboembolism", "pte", "pericardial effusion", "heart-based mass", "fungal pneumonia", "aspiration pneumonia", "noncardiogenic edema",
+    "foreign body", "gastric foreign body", "intestinal foreign body", "gastric dilatation-volvulus", "gdv", "hemoabdomen", "free abdominal fluid",
+    "urinary bladder rupture", "intestinal obstruction", "mesenteric volvulus", "splenic torsion", "renal lymphoma", "pancreatic mass", "pancreatitis",
+    "fracture", "aggressive bone lesion", "osteosarcoma", "bone lysis", "pathologic fracture", "joint luxation", "spinal fracture",
+    "pelvic fracture", "hip luxation", "vertebral luxation", "disk extrusion", "ischemic myelopathy", "thalamic astrocytoma",
 ]
 
 

@@ -108,3 +108,28 @@ def throughput(items: Column, seconds: Column, target: float) -> tuple[Column, C
     """(items per minute, hours for ``target`` items); null where nothing was timed."""
     per = F.try_divide(items.cast("double") * 60, seconds.cast("double"))
     return per, F.try_divide(F.lit(target), per * 60)
+
+
+def projection(items: Column, seconds: Column, target: float, price: float) -> tuple[Column, Column, Column]:
+    """(items per minute, hours for ``target`` items, what they cost at ``price`` an hour)."""
+    per, hours = throughput(items, seconds, target)
+    return per, hours, price * hours
+
+
+def layer_actions(layers: DataFrame, rules: DataFrame, healthy: float = 6.0) -> DataFrame:
+    """(projection, undertrained, degraded, layers, action): layers above ``healthy``, those that were below it before, and the rule's action.
+
+    A degraded layer is to be investigated first; the rule (projection, action) speaks where any is undertrained.
+    """
+    weak, was = F.col("ft_alpha") > healthy, F.col("base_alpha") <= healthy
+    s = layers.groupBy("projection").agg(F.count_if(weak).alias("undertrained"), F.count_if(weak & was).alias("degraded"), F.count(F.lit(1)).alias("layers"))
+    s = s.join(rules.withColumnRenamed("action", "rule"), "projection", "left")
+    action = F.when(F.col("degraded") > 0, "investigate block, consider leaving it out").when(F.col("undertrained") > 0, F.coalesce("rule", F.lit("no change"))).otherwise("no change")
+    return s.select("projection", "undertrained", "degraded", "layers", action.alias("action"))
+
+
+def roll_up(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(metric, mean, total, largest, cases) of many metric columns, by one aggregation."""
+    parts = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names])
+    long = metrics.select(F.explode(parts).alias("m")).select("m.*")
+    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.sum("v").alias("total"), F.max("v").alias("largest"), F.count("v").alias("cases"))

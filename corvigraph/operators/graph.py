@@ -6,6 +6,7 @@ to, and may be empty for one graph. Iterations cut their lineage with written ta
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -42,9 +43,10 @@ def undirected(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return e.select(*keys, "src", "dst").union(e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def mega_graph(edges: DataFrame, label: str) -> DataFrame:
-    """Edges of all graphs by canonical ends: weight counts them, the smallest label stands for all."""
-    return edges.where("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.min(label).alias(label))
+def mega_graph(edges: DataFrame, label: str, order: str | None = None) -> DataFrame:
+    """Edges of all graphs by canonical ends: weight counts them, the first label by ``order`` (else the smallest) stands for all."""
+    first = F.min_by(label, F.struct(F.col(order), F.col(label))) if order else F.min(label)
+    return edges.where("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), first.alias(label))
 
 
 def degrees(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,11 +69,13 @@ def subgraph(edges: DataFrame, keep: DataFrame, keys: Sequence[str]) -> DataFram
     return edges.join(k.withColumnRenamed("id", "src"), [*keys, "src"], "left_semi").join(k.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_semi")
 
 
-def pagerank(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), iterations: int = 10, damping: float = 0.85, weight: str | None = None, tolerance: float | None = None) -> DataFrame:
-    """(keys, id, rank) summing to 1 in each graph; dangling mass is spread evenly.
+def pagerank(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), iterations: int | None = None, damping: float = 0.85, weight: str | None = None, tolerance: float = 1e-10) -> DataFrame:
+    """(keys, id, rank) summing to 1 in each graph; dangling mass is spread evenly. Without ``weight`` all edges of a vertex count alike.
 
-    Runs ``iterations`` rounds, or fewer if the largest change falls below ``tolerance``. Without
-    ``weight`` all edges of a vertex count alike.
+    The rank is the solution x = 1 + damping * (what the edges bring) scaled to sum 1: the same as with the
+    dangling mass in every round, but a graph without cycles is done after its longest path. Rounds go on
+    until no x changes by more than ``tolerance`` of its graph's mean. With ``iterations`` it is instead that
+    many rounds of the plain power method.
     """
     keys = list(keys)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -83,21 +87,33 @@ def pagerank(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), itera
     out = total.select(*keys, F.col("src").alias("id"), F.lit(False).alias("dangling"))
     joined = v.join(sizes, keys) if keys else v.crossJoin(F.broadcast(sizes))
     v = scratch.cut(joined.join(out, [*keys, "id"], "left").select(*keys, "id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling")), "vertices")
-    ranks = v.select("*", (F.lit(1.0) / F.col("n")).alias("rank"))
+
+    def brought(values: DataFrame, name: str) -> DataFrame:
+        return spread_join(step, values.select(*keys, F.col("id").alias("src"), name), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col(name)).alias("got"))
+
+    if iterations is None:
+        x = scratch.cut(v.select(*keys, "id", F.lit(1.0).alias("x")), "x0")
+        while True:
+            new = x.join(brought(x, "x"), [*keys, "id"], "left").select(*keys, "id", (1 + damping * F.coalesce("got", F.lit(0.0))).alias("x"), F.col("x").alias("before"))
+            new = scratch.cut(new, "x")
+            moved = new.where(F.abs(F.col("x") - F.col("before")) > tolerance).limit(1).count()  # the mean is at least 1
+            scratch.drop(x)
+            path = new._corvigraph_path
+            x = new.drop("before")
+            x._corvigraph_path = path
+            if not moved:
+                break
+        mass = x.groupBy(*keys).agg(F.sum("x").alias("mass"))
+        scaled = x.join(mass, keys) if keys else x.crossJoin(F.broadcast(mass))
+        return scaled.select(*keys, "id", (F.col("x") / F.col("mass")).alias("rank"))
+    ranks = scratch.cut(v.select("*", (F.lit(1.0) / F.col("n")).alias("rank")), "ranks")
     for i in range(iterations):
-        moved = step.join(ranks.select(*keys, F.col("id").alias("src"), "rank"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         lost = ranks.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        new = v.join(moved, [*keys, "id"], "left")
+        new = v.join(brought(ranks, "rank"), [*keys, "id"], "left")
         new = new.join(lost, keys) if keys else new.crossJoin(F.broadcast(lost))
         rank = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        new = new.select(*keys, "id", "n", "dangling", rank.alias("rank"))
-        if i % 3 == 2 or i == iterations - 1 or tolerance is not None:
-            new = scratch.cut(new, f"ranks{i}")
-        if tolerance is not None:
-            change = new.join(ranks.select(*keys, "id", F.col("rank").alias("before")), [*keys, "id"]).agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
-            ranks = new
-            if change is None or change < tolerance:
-                break
+        new = scratch.cut(new.select(*keys, "id", "n", "dangling", rank.alias("rank")), f"ranks{i}")
+        scratch.drop(ranks)
         ranks = new
     return ranks.select(*keys, "id", "rank")
 
@@ -128,26 +144,45 @@ def components(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = ()) ->
             return labels
 
 
-def label_propagation(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), iterations: int = 5) -> DataFrame:
-    """(keys, id, community) after synchronous rounds: the most frequent label of the neighbours, ties to the smallest."""
+def label_propagation(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), iterations: int | None = None) -> DataFrame:
+    """(keys, id, community): synchronous rounds, each vertex taking the most frequent label of its neighbours, ties to the smallest.
+
+    Rounds go on until each vertex has the label of two rounds ago: then labels stand still, or swing between
+    two, of which the smaller is the result. With ``iterations`` it is that many rounds.
+    """
     keys = list(keys)
     both = scratch.cut(undirected(edges, keys), "both")
-    labels = vertices_of(edges, keys).withColumn("community", F.col("id"))
-    for i in range(iterations):
-        votes = both.join(labels.select(*keys, F.col("id").alias("dst"), "community"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
+    labels = scratch.cut(vertices_of(edges, keys).select(*keys, "id", F.col("id").alias("community"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("before")), "labels")
+    done = 0
+    while iterations is None or done < iterations:
+        votes = spread_join(both, labels.select(*keys, F.col("id").alias("dst"), "community"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(*keys, "id").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("best"))
-        labels = scratch.cut(labels.join(best, [*keys, "id"], "left").select(*keys, "id", F.coalesce("best", "community").alias("community")), f"labels{i}")
-    return labels
+        new = labels.join(best, [*keys, "id"], "left").select(*keys, "id", F.coalesce("best", "community").alias("community"), F.col("community").alias("before"), F.col("before").alias("earlier"))
+        new = scratch.cut(new, "labels")
+        swings = iterations is None and not new.where("NOT community <=> earlier").limit(1).count()
+        scratch.drop(labels)
+        path = new._corvigraph_path
+        labels = new.drop("earlier")
+        labels._corvigraph_path = path
+        done += 1
+        if swings:
+            return labels.select(*keys, "id", F.least("community", "before").alias("community"))
+    return labels.select(*keys, "id", "community")
+
 
+def shortest_paths(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(keys, source, target, distance) of unweighted directed paths, self at 0, by frontier joins until none is new, or up to ``most`` steps.
 
-def shortest_paths(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), sources: DataFrame | None = None, most: int = 50) -> DataFrame:
-    """(keys, source, target, distance) of unweighted directed paths up to ``most`` steps, self at 0, by frontier joins."""
+    From all vertices, or from ``sources``: on one large graph all pairs are the square of its vertices.
+    """
     keys = list(keys)
     e = scratch.cut(edges.where("src != dst").select(*keys, "src", "dst").distinct(), "edges")
     start = vertices_of(edges, keys) if sources is None else sources.select(*keys, "id").distinct()
     found = scratch.cut(start.select(*keys, F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0).alias("distance")), "found")
     frontier = found
-    for d in range(1, most + 1):
+    for d in itertools.count(1):
+        if most is not None and d > most:
+            break
         new = frontier.join(e.withColumnRenamed("src", "target"), [*keys, "target"]).select(*keys, "source", F.col("dst").alias("target")).distinct()
         new = scratch.cut(new.join(found, [*keys, "source", "target"], "left_anti").withColumn("distance", F.lit(d)), f"frontier{d}")
         if not new.limit(1).count():
@@ -183,11 +218,11 @@ def closeness(paths: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFr
     return c.select(*keys, "id", F.when(F.col("n") > 1, F.coalesce(F.col("reach") / F.col("far") * F.col("reach") / (F.col("n") - 1), F.lit(0.0))).otherwise(0.0).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), sources: DataFrame | None = None, most: int = 50) -> DataFrame:
+def betweenness(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(keys, id, betweenness), directed and normalised by (n-1)(n-2), by level-synchronous joins.
 
     Forward, each level counts shortest paths from every source; backward, levels from the deepest hand
-    down their dependencies. With ``sources`` only paths from those are summed, scaled to all.
+    down their dependencies; until no path is new, or for ``most`` levels. With ``sources`` only paths from those are summed, scaled to all.
     """
     keys = list(keys)
     e = scratch.cut(edges.where("src != dst").select(*keys, "src", "dst").distinct(), "edges")
@@ -195,7 +230,9 @@ def betweenness(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), so
     start = v if sources is None else sources.select(*keys, "id").distinct()
     levels = [scratch.cut(start.select(*keys, F.col("id").alias("s"), F.col("id").alias("t"), F.lit(1.0).alias("sigma")), "level0")]
     seen = levels[0].select(*keys, "s", "t")
-    for d in range(1, most + 1):
+    for d in itertools.count(1):
+        if most is not None and d > most:
+            break
         reach = levels[-1].join(e.withColumnRenamed("src", "t"), [*keys, "t"]).groupBy(*keys, "s", F.col("dst").alias("t")).agg(F.sum("sigma").alias("sigma"))
         new = scratch.cut(reach.join(seen, [*keys, "s", "t"], "left_anti"), f"level{d}")
         if not new.limit(1).count():
@@ -242,20 +279,35 @@ def clustering_coefficient(edges: DataFrame, keys: Sequence[str] = ()) -> DataFr
     return out.select(*keys, "id", "triangles", F.when(F.col("k") > 1, 2.0 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def power_iteration(edges: DataFrame, scratch: Scratch, iterations: int = 10, decay: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, id, value): eigenvector centrality, or with ``decay`` Katz centrality 1 + decay * incoming; unit length."""
+def power_iteration(edges: DataFrame, scratch: Scratch, iterations: int | None = None, decay: float | None = None, keys: Sequence[str] = (), tolerance: float = 1e-9, most: int = 1_000) -> DataFrame:
+    """(keys, id, value): eigenvector centrality, or with ``decay`` Katz centrality 1 + decay * incoming; unit length.
+
+    Each round is brought to unit length in its graph; rounds go on until no value changes by more than
+    ``tolerance``. If ``most`` rounds do not get there it is an error, as it is for Katz with a decay above the
+    inverse of the largest eigenvalue. With ``iterations`` it is that many rounds.
+    """
     keys = list(keys)
     e = scratch.cut(edges.where("src != dst").select(*keys, "src", "dst").distinct(), "edges")
-    v = scratch.cut(vertices_of(edges, keys), "vertices")
-    x = v.withColumn("value", F.lit(1.0))
-    for i in range(iterations):
-        got = e.join(x.select(*keys, F.col("id").alias("src"), "value"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum("value").alias("got"))
-        value = F.coalesce("got", F.lit(0.0))
-        value = 1 + decay * value if decay is not None else F.col("value") + value
-        x = scratch.cut(x.join(got, [*keys, "id"], "left").select(*keys, "id", value.alias("value")), f"x{i}")
-    size = x.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
-    x = x.join(size, keys) if keys else x.crossJoin(F.broadcast(size))
-    return x.select(*keys, "id", F.try_divide("value", "size").alias("value"))
+    x = scratch.cut(vertices_of(edges, keys).select(*keys, "id", F.lit(1.0).alias("raw"), F.lit(0.0).alias("value")), "x")
+    for i in range(most if iterations is None else iterations):
+        got = spread_join(e, x.select(*keys, F.col("id").alias("src"), "raw"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum("raw").alias("got"))
+        gain = F.coalesce("got", F.lit(0.0))
+        new = x.join(got, [*keys, "id"], "left").select(*keys, "id", (1 + decay * gain if decay is not None else F.col("raw") + gain).alias("raw"), F.col("value").alias("before"))
+        size = new.groupBy(*keys).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
+        new = new.join(size, keys) if keys else new.crossJoin(F.broadcast(size))
+        value = F.try_divide("raw", "size")
+        new = scratch.cut(new.select(*keys, "id", (F.col("raw") if decay is not None else value).alias("raw"), value.alias("value"), "before"), "x")
+        moved = iterations is not None or new.where(F.abs(F.col("value") - F.col("before")) > tolerance).limit(1).count()
+        scratch.drop(x)
+        path = new._corvigraph_path
+        x = new.drop("before")
+        x._corvigraph_path = path
+        if not moved:
+            break
+    else:
+        if iterations is None:
+            raise ValueError(f"no fixed point after {most} rounds")
+    return x.select(*keys, "id", "value")
 
 
 def neighbour_scores(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -315,12 +367,59 @@ def wl_colours(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), rou
     return x
 
 
-def strong_components(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, id, component): smallest vertex that reaches and is reached, from all-pairs ``paths``."""
+def _trimmed(live: DataFrame, scratch: Scratch, keys: list[str]) -> DataFrame:
+    """Edges left after vertices without incoming or outgoing edges are peeled off until none is."""
+    while True:
+        has_in, has_out = live.select(*keys, F.col("dst").alias("src")).distinct().withColumn("_in", F.lit(True)), live.select(*keys, F.col("src").alias("dst")).distinct().withColumn("_out", F.lit(True))
+        marked = scratch.cut(live.join(has_in, [*keys, "src"], "left").join(has_out, [*keys, "dst"], "left").select(*keys, "src", "dst", (F.col("_in") & F.col("_out")).alias("stays")), "trim")
+        gone = marked.where("stays IS NULL").limit(1).count()
+        scratch.drop(live)
+        live = marked.where("stays").drop("stays")
+        live._corvigraph_path = marked._corvigraph_path
+        if not gone:
+            return live
+
+
+def strong_components(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, id, component): the smallest vertex of the strongly connected component, by colouring forward and backward.
+
+    Vertices that no cycle can hold are peeled off first. Of the rest each gets the smallest vertex that
+    reaches it as colour; those of a colour that reach its name along its own edges are a component; they are
+    taken out, and so on. No path length bounds the rounds, and no pairs of vertices are made.
+    """
     keys = list(keys)
-    back = paths.select(*keys, F.col("target").alias("source"), F.col("source").alias("target"))
-    mutual = paths.select(*keys, "source", "target").join(back, [*keys, "source", "target"])
-    return mutual.groupBy(*keys, F.col("source").alias("id")).agg(F.min("target").alias("component"))
+    every = scratch.cut(vertices_of(edges, keys), "vertices")
+    live = _trimmed(scratch.cut(edges.where("src != dst").select(*keys, "src", "dst").distinct(), "live"), scratch, keys)
+    found = None
+    while live.limit(1).count():
+        colour = scratch.cut(vertices_of(live, keys).withColumn("colour", F.col("id")), "colour")
+        while True:
+            near = spread_join(live, colour.select(*keys, F.col("id").alias("src"), "colour"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.min("colour").alias("near"))
+            new = scratch.cut(colour.join(near, [*keys, "id"], "left").select(*keys, "id", F.least("colour", F.coalesce("near", "colour")).alias("colour"), (F.col("near") < F.col("colour")).alias("moved")), "colour")
+            moved = new.where("moved").limit(1).count()
+            scratch.drop(colour)
+            colour = new.drop("moved")
+            colour._corvigraph_path = new._corvigraph_path
+            if not moved:
+                break
+        inner = live.join(colour.withColumnRenamed("id", "src"), [*keys, "src"]).join(colour.select(*keys, F.col("id").alias("dst"), F.col("colour").alias("other")), [*keys, "dst"]).where("colour = other")
+        inner = scratch.cut(inner.select(*keys, "src", "dst"), "inner")
+        reach = scratch.cut(colour.where("id = colour"), "reach")
+        frontier = reach
+        while True:
+            back = inner.join(frontier.withColumnRenamed("id", "dst"), [*keys, "dst"]).select(*keys, F.col("src").alias("id"), "colour").distinct()
+            frontier = scratch.cut(back.join(reach, [*keys, "id"], "left_anti"), "frontier")
+            if not frontier.limit(1).count():
+                break
+            reach = scratch.cut(reach.unionByName(frontier), "reach")
+        found = reach if found is None else found.unionByName(reach)
+        gone = reach.select(*keys, "id")
+        rest = live.join(gone.withColumnRenamed("id", "src"), [*keys, "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_anti")
+        live = _trimmed(scratch.cut(rest, "live"), scratch, keys)
+    if found is None:
+        return every.select(*keys, "id", F.col("id").alias("component"))
+    named = found.withColumnRenamed("colour", "component")
+    return every.join(named, [*keys, "id"], "left").select(*keys, "id", F.coalesce("component", "id").alias("component"))
 
 
 def bipartite_projection(links: DataFrame, item: str, via: str) -> DataFrame:
@@ -345,13 +444,7 @@ def structural_classes(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def cyclic_vertices(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, id) left after vertices without incoming or outgoing edges are peeled off again and again: those on cycles or between them."""
     keys = list(keys)
-    live = scratch.cut(edges.select(*keys, "src", "dst").distinct(), "live")
-    while True:
-        has_in, has_out = live.select(*keys, F.col("dst").alias("id")).distinct(), live.select(*keys, F.col("src").alias("id")).distinct()
-        new = scratch.cut(live.join(has_in.withColumnRenamed("id", "src"), [*keys, "src"], "left_semi").join(has_out.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_semi"), "live")
-        if new.count() == live.count():
-            return vertices_of(new, keys)
-        live = new
+    return vertices_of(_trimmed(scratch.cut(edges.select(*keys, "src", "dst").distinct(), "live"), scratch, keys), keys)
 
 
 def modularity_communities(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -418,3 +511,51 @@ def walk_embeddings(edges: DataFrame, size: int = 16, walks: int = 5, length: in
 
     model = Word2Vec(vectorSize=size, minCount=1, inputCol="walk", outputCol="v", seed=seed, maxIter=1).fit(sampled_walks(edges, walks, length, seed))
     return model.getVectors().withColumnRenamed("word", "id")
+
+
+def graphlets(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, edges, wedges, triangles): connected graphlets of two and three vertices; wedges are open, counted from degrees without listing them."""
+    keys = list(keys)
+    both = undirected(edges, keys)
+    d = both.groupBy(*keys, F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+    pairs = d.groupBy(*keys).agg((F.sum("d") / 2).cast("long").alias("edges"), F.sum(F.col("d") * (F.col("d") - 1) / 2).cast("long").alias("pairs"))
+    t = triangles(edges, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("triangles"))
+    out = pairs.join(t, keys, "left") if keys else pairs.crossJoin(F.broadcast(t))
+    return out.select(*keys, "edges", (F.col("pairs") - 3 * F.coalesce("triangles", F.lit(0))).alias("wedges"), F.coalesce("triangles", F.lit(0)).alias("triangles"))
+
+
+def label_kernel(edges: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """(a, b, kernel), a < b: cosine of two graphs' counts of edge labels, for graphs that share one (a label-histogram kernel)."""
+    one = edges.groupBy(F.col(keys[0]).alias("k"), F.col(label).alias("label")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    size = one.groupBy("k").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    both = one.withColumnsRenamed({"k": "a", "n": "x"}).join(one.withColumnsRenamed({"k": "b", "n": "y"}), "label").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    both = both.join(size.withColumnsRenamed({"k": "a", "size": "sa"}), "a").join(size.withColumnsRenamed({"k": "b", "size": "sb"}), "b")
+    return both.select("a", "b", (F.col("dot") / (F.col("sa") * F.col("sb"))).alias("kernel"))
+
+
+def anonymous_walks(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, pattern, walks): walks of two steps along undirected edges by the order in which their vertices first appear: 0-1-0 and 0-1-2."""
+    keys = list(keys)
+    d = undirected(edges, keys).groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("d"))
+    sums = d.groupBy(*keys).agg(F.sum("d").alias("back"), F.sum(F.col("d") * (F.col("d") - 1)).alias("on"))
+    return sums.select(*keys, F.explode(F.array(F.struct(F.lit("0-1-0").alias("pattern"), F.col("back").alias("walks")), F.struct(F.lit("0-1-2").alias("pattern"), F.col("on").alias("walks")))).alias("w")).select(*keys, "w.*").where("walks > 0")
+
+
+def greedy_colours(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, id, colour): no two neighbours share a colour. Vertices are coloured in the order of their names, each with the least colour free.
+
+    In a round every vertex whose smaller neighbours all have colours gets its own, so a round colours many at once.
+    """
+    keys = list(keys)
+    both = undirected(edges, keys)
+    down = scratch.cut(both.where("dst < src"), "down")
+    done = scratch.cut(vertices_of(edges, keys).join(down.select(*keys, F.col("src").alias("id")).distinct(), [*keys, "id"], "left_anti").withColumn("colour", F.lit(0)), "done")
+    left = down
+    while left.limit(1).count():
+        seen = left.join(done.select(*keys, F.col("id").alias("dst"), "colour"), [*keys, "dst"], "left")
+        ready = seen.groupBy(*keys, F.col("src").alias("id")).agg(F.collect_set("colour").alias("taken"), F.count_if(F.col("colour").isNull()).alias("open")).where("open = 0")
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), F.col("taken")))
+        new = scratch.cut(ready.select(*keys, "id", free.alias("colour")), "new")
+        left = scratch.cut(left.join(new.select(*keys, F.col("id").alias("src")), [*keys, "src"], "left_anti"), "left")
+        done = scratch.cut(done.unionByName(new), "done")
+    return done

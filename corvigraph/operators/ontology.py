@@ -14,23 +14,58 @@ def _words(terms: DataFrame) -> DataFrame:
     return terms.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("word")).where("word != ''")
 
 
-def contained_terms(terms: DataFrame) -> DataFrame:
-    """(parent, child): terms that contain another as whole words.
+def _grams(text: Column, size: Column) -> Column:
+    count = F.length(text) - size + 1
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, size)))
 
-    The block key is the rarest word of the contained term, which the other must have too: a word of a
-    third of all terms is the key only of terms that have no other.
+
+def substring_matches(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(needle, hay): every text of ``hays`` (hay) that holds a text of ``needles`` (needle), each pair once; empty needles match nothing.
+
+    A hay holds a needle only if it holds all its pieces of three signs (of shorter needles: the needle), so
+    the block key of a needle is the one of them that the fewest hays have. Exact, and no pair is compared twice.
     """
-    one = terms.where(F.length("term") > 0).select("term").distinct()
-    w = _words(one)
-    freq = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = w.join(freq, "word").groupBy("term").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    return rare.select(F.col("term").alias("parent"), "word").join(w.select(F.col("term").alias("child"), "word"), "word").where("parent != child AND contains(concat(' ', child, ' '), concat(' ', parent, ' '))").select("parent", "child").distinct()
+    n = needles.where(F.length("needle") > 0).select("needle").distinct()
+    h = hays.where(F.length("hay") > 0).select("hay").distinct()
+    every = F.array_distinct(F.flatten(F.array(*[F.when(F.length("hay") >= k, _grams(F.col("hay"), F.lit(k))).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3)])))
+    held = h.select("hay", F.explode(every).alias("gram"))
+    freq = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = n.select("needle", F.explode(_grams(F.col("needle"), F.least(F.length("needle"), F.lit(3)))).alias("gram")).join(freq, "gram")
+    keyed = asked.groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return keyed.join(held, "gram").where("contains(hay, needle)").select("needle", "hay")
+
+
+def contained_terms(terms: DataFrame, whole_words: bool = True) -> DataFrame:
+    """(parent, child): terms that hold another, as whole words or, without ``whole_words``, as any piece of their text."""
+    found = substring_matches(terms.select(F.col("term").alias("needle")), terms.select(F.col("term").alias("hay")))
+    found = found.where("contains(concat(' ', hay, ' '), concat(' ', needle, ' '))") if whole_words else found
+    return found.where("needle != hay").select(F.col("needle").alias("parent"), F.col("hay").alias("child"))
+
+
+# Compound patterns and the words that form compounds with them.
+COMPOUND_PATTERNS = {
+    "vaccination": ["vaccine", "immunization"],
+    "medication": ["drug", "medicine", "therapeutic"],
+    "surgery": ["surgical", "operation", "procedure"],
+    "therapy": ["treatment", "therapeutic"],
+    "diagnosis": ["diagnostic", "finding"],
+    "management": ["treatment", "care"],
+}
 
 
-def hierarchy_pairs(terms: DataFrame, is_a: DataFrame, fixed: DataFrame) -> DataFrame:
-    """(parent, child, source) from contained terms, "is a" triples (object above subject) and a fixed list."""
-    a = contained_terms(terms).withColumn("source", F.lit("substring"))
-    b = is_a.select(F.col("object").alias("parent"), F.col("subject").alias("child"), F.lit("is_a").alias("source"))
+def compound_pairs(spark) -> DataFrame:
+    """(parent, child): the compounds made of the patterns."""
+    return spark.createDataFrame([(w, f"{w} {name}") for name, words in COMPOUND_PATTERNS.items() for w in words], "parent string, child string")
+
+
+def hierarchy_pairs(terms: DataFrame, is_a: DataFrame, fixed: DataFrame, whole_words: bool = False) -> DataFrame:
+    """(parent, child, source) from contained terms, "is a" triples (object above subject) and a fixed list.
+
+    Ends of triples have at least three signs, differ and are no numbers.
+    """
+    a = contained_terms(terms, whole_words).withColumn("source", F.lit("substring"))
+    real = (F.length("subject") >= 3) & (F.length("object") >= 3) & ~F.col("subject").rlike("^[0-9]+$") & ~F.col("object").rlike("^[0-9]+$") & (F.col("subject") != F.col("object"))
+    b = is_a.where(real).select(F.col("object").alias("parent"), F.col("subject").alias("child"), F.lit("is_a").alias("source"))
     return a.unionByName(b).unionByName(fixed.select("parent", "child", F.lit("fixed").alias("source"))).distinct()
 
 
@@ -42,15 +77,40 @@ def boost(confidence: Column, relevant: Column) -> Column:
     return F.least(F.lit(1.0), confidence + 0.3 * relevant)
 
 
-def rule_relation(text: Column) -> tuple[Column, Column]:
-    """(type, confidence) by keywords of the text, in order of precedence; null where no rule applies."""
-    low = F.lower(text)
-    rules = [("treats", 0.7, ["treat", "therapy", "resolved after", "started on"]), ("prevents", 0.7, ["prevent", "prophyla"]), ("causes", 0.7, ["cause", "due to", "explains", "secondary to"]), ("part_of", 0.8, ["part of", "of the"])]
-    kind, score = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, value, cues in reversed(rules):
-        hit = low.rlike("|".join(f"\\Q{c}\\E" for c in cues))
-        kind, score = F.when(hit, name).otherwise(kind), F.when(hit, value).otherwise(score)
-    return kind, score
+def rule_relations(pairs: DataFrame, triples: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, text, ...) with ``kind`` and ``confidence`` by words of the text, in order of precedence, else by a known triple at 0.8.
+
+    Words of treatment type a pair only if both ends are medical terms; otherwise no other words are asked.
+    A triple (subject, predicate, object) is of the pair if its ends hold the pair's, in either direction; of
+    several predicates the smallest counts. Null where nothing says.
+    """
+    from ..functions.terms import is_medical
+
+    low = F.lower("text")
+    a, b = F.col("a"), F.col("b")
+    rule = (
+        F.when(low.rlike("treat|for|manage"), F.when(is_medical(a) & is_medical(b), "treats"))
+        .when(low.rlike("prevent|against"), "prevents")
+        .when(low.rlike("cause|due to"), "causes")
+        .when(F.contains(a, b) | F.contains(b, a), "part_of")
+    )
+    wanted = pairs.select("a", "b").distinct()
+    t = triples.where("subject IS NOT NULL AND object IS NOT NULL AND predicate IS NOT NULL").select("subject", "predicate", "object").distinct()
+    inside = substring_matches(wanted.select(F.explode(F.array("a", "b")).alias("needle")), t.select(F.explode(F.array("subject", "object")).alias("hay")))
+    ways = t.select(F.col("subject").alias("x"), "predicate", F.col("object").alias("y")).unionByName(t.select(F.col("object").alias("x"), "predicate", F.col("subject").alias("y")))
+    known = wanted.join(inside.withColumnsRenamed({"needle": "a", "hay": "x"}), "a").join(ways, "x").join(inside.withColumnsRenamed({"needle": "b", "hay": "y"}), ["b", "y"])
+    known = known.groupBy("a", "b").agg(F.min(F.replace("predicate", F.lit(" "), F.lit("_"))).alias("known"))
+    out = pairs.withColumn("rule", rule).join(known, ["a", "b"], "left")
+    score = F.when((F.col("rule") == "part_of") | (F.col("rule").isNull() & F.col("known").isNotNull()), 0.8).when(F.col("rule").isNotNull(), 0.7)
+    return out.withColumn("kind", F.coalesce("rule", "known")).withColumn("confidence", score).drop("rule", "known")
+
+
+def within_bounds(relations: DataFrame, kind: str, head: str, tail: str, bounds: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """Relations whose kind has no bounds, or whose ends' labels are among those its bounds allow; a null label is in no bounds."""
+    ok = ~F.col(kind).isin(list(bounds))
+    for name, (heads, tails) in bounds.items():
+        ok = ok | ((F.col(kind) == name) & F.col(head).isin(heads) & F.col(tail).isin(tails))
+    return relations.where(F.coalesce(ok, F.lit(False)))
 
 
 def merge_relation_sources(ontology: DataFrame, other: DataFrame) -> DataFrame:
@@ -101,13 +161,14 @@ def hybrid(scores: DataFrame, keys: Sequence[str], dense: str, sparse: str, weig
 
 
 def concept_lookup(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(mention, concept, score): the equal concept at 1, else the shortest one that contains a word of the mention and the mention itself at 0.7; null at 0."""
-    m = mentions.select("mention").distinct()
-    exact = m.join(concepts.select(F.col("term").alias("mention")).distinct(), "mention", "left_semi").select("mention", F.col("mention").alias("concept"), F.lit(1.0).alias("score"))
+    """(mention, concept, score): the equal concept at 1, else the shortest one that holds the mention or is held by it at 0.7; null at 0."""
+    m = mentions.where(F.length("mention") > 0).select("mention").distinct()
+    c = concepts.where(F.length("term") > 0).select("term").distinct()
+    exact = m.join(c.select(F.col("term").alias("mention")), "mention", "left_semi").select("mention", F.col("mention").alias("concept"), F.lit(1.0).alias("score"))
     rest = m.join(exact, "mention", "left_anti")
-    w = rest.select("mention", F.explode(F.array_distinct(F.split("mention", " "))).alias("word")).where("word != ''")
-    near = w.join(_words(concepts.select("term").distinct()), "word").where("contains(term, mention) OR contains(mention, term)")
-    near = near.groupBy("mention").agg(F.min_by("term", F.struct(F.length("term"), F.col("term"))).alias("concept")).withColumn("score", F.lit(0.7))
+    inside = substring_matches(rest.select(F.col("mention").alias("needle")), c.select(F.col("term").alias("hay"))).select(F.col("needle").alias("mention"), F.col("hay").alias("term"))
+    around = substring_matches(c.select(F.col("term").alias("needle")), rest.select(F.col("mention").alias("hay"))).select(F.col("hay").alias("mention"), F.col("needle").alias("term"))
+    near = inside.unionByName(around).groupBy("mention").agg(F.min_by("term", F.struct(F.length("term"), F.col("term"))).alias("concept")).withColumn("score", F.lit(0.7))
     none = rest.join(near, "mention", "left_anti").select("mention", F.lit(None).cast("string").alias("concept"), F.lit(0.0).alias("score"))
     return exact.unionByName(near).unionByName(none)
 

@@ -23,43 +23,115 @@ def vocabulary(mentions: DataFrame, columns: Sequence[str]) -> DataFrame:
     return mentions.select(F.explode(F.array(*[clean(F.col(c)) for c in columns])).alias("term")).where(F.length("term") > 0).distinct()
 
 
-def nearest_neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
-    """(a, b, cosine): the k nearest other vectors of each, exact, ties to the smaller key.
+def _unit(rows) -> np.ndarray:
+    m = np.stack([np.asarray(r["v"], np.float64) for r in rows])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _best(score: np.ndarray, asked: np.ndarray, keys: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best of each row of ``score``, without itself; ties to the smaller key."""
+    score = np.where(asked[:, None] == keys[None, :], -np.inf, np.round(score, 9))
+    if score.shape[1] > k:  # all that reach the k-th best value, then the order among them
+        bar = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
+        row, col = np.nonzero((score >= bar) & np.isfinite(score))
+    else:
+        row, col = np.nonzero(np.isfinite(score))
+    out = pd.DataFrame({"a": asked[row], "b": keys[col], "cosine": score[row, col]}).sort_values(["a", "cosine", "b"], ascending=[True, False, True], kind="stable")
+    return out[out.groupby("a").cumcount() < k]
 
-    Vectors are dealt into blocks of bounded size; every pair of blocks is one matrix product, and only
-    the best k of a block travel on. Work is quadratic by definition; memory per task is two blocks.
-    """
-    typed = dict(vectors.dtypes)[key]
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    held = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    packed = held.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("rows"))
-    left = packed.select(F.col("block").alias("i"), F.col("rows").alias("x")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = left.join(packed.select(F.col("block").alias("j"), F.col("rows").alias("y")), "j")
+
+def _pairs_of_blocks(both: DataFrame, k: int, typed: str) -> DataFrame:
+    """The k best (a, b, cosine) of block pairs (x, y: arrays of key and v)."""
 
     def run(parts):
-        unit = lambda rows: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.stack([np.asarray(r["v"], np.float64) for r in rows]))
         for part in parts:
             for x, y in zip(part["x"], part["y"]):
-                a, b = [r["key"] for r in x], np.array([r["key"] for r in y])
-                score = np.round(unit(x) @ unit(y).T, 9)
-                for i, key_a in enumerate(a):
-                    order = np.lexsort((b, -score[i]))
-                    order = order[b[order] != key_a][:k]
-                    yield pd.DataFrame({"a": key_a, "b": b[order], "cosine": score[i][order]})
+                yield _best(_unit(x) @ _unit(y).T, np.array([r["key"] for r in x]), np.array([r["key"] for r in y]), k)
 
     found = both.select("x", "y").mapInPandas(run, f"a {typed}, b {typed}, cosine double")
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
-def candidate_pairs(neighbours: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine), a < b, of neighbours above ``least``: a pair seen from either side counts."""
-    return neighbours.where(F.col("cosine") > least).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("cosine"))
+def nearest_neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096, queries: DataFrame | None = None) -> DataFrame:
+    """(a, b, cosine): the k nearest other vectors of each of ``queries`` (default: of all), exact, ties to the smaller key.
+
+    Vectors are dealt into blocks of bounded size; each block of queries meets each block of vectors in one
+    matrix product, and only the best k of a block travel on. The work is queries times vectors by
+    definition, memory per task two blocks. Null keys and null vectors take no part.
+    """
+    typed = dict(vectors.dtypes)[key]
+
+    def packed(df: DataFrame) -> tuple[DataFrame, int]:
+        df = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+        blocks = max(1, -(-df.count() // block))
+        held = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+        return held.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("rows")), blocks
+
+    right, blocks = packed(vectors)
+    left = packed(queries)[0] if queries is not None else right
+    left = left.select(F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
+    return _pairs_of_blocks(left.join(right.select(F.col("block").alias("j"), F.col("rows").alias("y")), "j"), k, typed)
+
+
+#: Vectors that the cells of an index are fitted on, at most; every vector is indexed.
+FITTED = 50_000
+
+
+def fit_cells(vectors: DataFrame, key: str, vector: str, cells: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """Centres of an index's cells (unit vectors), by k-means over at most FITTED vectors drawn by a hash of their key."""
+    drawn = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), key), key).limit(FITTED).select(F.col(vector).cast("array<float>").alias("v"))
+    rows = drawn.collect()
+    if not rows:
+        return np.zeros((0, 0))
+    x = _unit(rows)
+    centres = x[: min(cells, len(x))].copy()
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            mine = x[near == c]
+            if len(mine):
+                centres[c] = mine.mean(0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return centres
+
+
+def indexed_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, cells: int = 16, probes: int = 12, block: int = 4096) -> DataFrame:
+    """(a, b, cosine): near vectors of ``queries`` by an inverted file: every vector lies in its nearest cell, a query visits ``probes`` cells.
+
+    Cells are split into blocks of about ``block`` vectors, so that a cell with a third of all is no single
+    task; a query visits all blocks of a cell. Approximate: measure its recall against :func:`nearest_neighbours`.
+    """
+    typed, centres = dict(vectors.dtypes)[key], fit_cells(vectors, key, vector, cells)
+    if not len(centres):
+        return vectors.sparkSession.createDataFrame([], f"a {typed}, b {typed}, cosine double")
+
+    def placed(df: DataFrame, many: int) -> DataFrame:
+        def run(parts):
+            for part in parts:
+                if len(part):
+                    near = np.argsort(-(_unit([{"v": v} for v in part["v"]]) @ centres.T), axis=1, kind="stable")[:, :many]
+                    yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), near.shape[1]), "v": [v for v in part["v"] for _ in range(near.shape[1])], "cell": near.ravel().astype(np.int32)})
+
+        ok = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+        return ok.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v")).mapInPandas(run, f"key {typed}, v array<float>, cell int")
+
+    index = placed(vectors, 1)
+    sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    pack = lambda df, name: df.groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias(name))
+    right = pack(index.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "v"), "y")
+    asked = placed(queries, probes).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(max(1, queries.count() // block + 1))).cast("int"))
+    left = pack(asked, "x").drop("part").join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return _pairs_of_blocks(left.join(right, ["cell", "part"]), k, typed)
+
+
+def candidate_pairs(neighbours: DataFrame, least: float = 0.7) -> DataFrame:
+    """(a, b, cosine), a < b, of neighbours above ``least`` (a distance below 0.3), seen from a: a pair that only b's list holds is none."""
+    return neighbours.where((F.col("cosine") > least) & (F.col("a") < F.col("b"))).select("a", "b", "cosine")
 
 
-def heuristic_pairs(terms: DataFrame, most: int = 5) -> DataFrame:
-    """(a, b), a < b: terms that share a word and differ in length by at most ``most``, or of which one holds the other as whole words.
+def heuristic_pairs(terms: DataFrame, most: int = 5, whole_words: bool = True) -> DataFrame:
+    """(a, b), a < b: terms that share a word and differ in length by at most ``most``, or of which one holds the other (as whole words or, without ``whole_words``, anywhere).
 
     Every shared word is a block key, with a window of lengths beside it; large blocks are split by hash.
     A pair comes from its first shared word only, so that none is compared or kept twice.
@@ -74,7 +146,9 @@ def heuristic_pairs(terms: DataFrame, most: int = 5) -> DataFrame:
     right = near.join(parts, ["word", "step"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     close = left.join(right, ["word", "step", "part"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= most))
     close = close.where(F.array_min(F.array_intersect("wa", "wb")) == F.col("word")).select("a", "b")
-    inside = contained_terms(one).where(F.abs(F.length("parent") - F.length("child")) > most).select(F.least("parent", "child").alias("a"), F.greatest("parent", "child").alias("b"))
+    apart = F.abs(F.length("parent") - F.length("child")) > most
+    bare = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    inside = contained_terms(one, whole_words).where(apart | ~F.arrays_overlap(bare("parent"), bare("child"))).select(F.least("parent", "child").alias("a"), F.greatest("parent", "child").alias("b"))
     return close.unionByName(inside)
 
 

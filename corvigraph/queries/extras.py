@@ -13,7 +13,7 @@ from ..plans.scratch import Scratch
 from ..registry import query
 from ..sources.tables import table
 from .evaluation import _SIDES, sides
-from .graphs import KEYS, REL, _lpa_sql, patient_edges
+from .graphs import _LPA, KEYS, REL, patient_edges
 from .relational import ENTITIES, entity_rows
 from .resolution import _TERMS, terms
 
@@ -50,21 +50,29 @@ def term_predicates(spark, base):
     return t.where((F.col("term").contains("fracture") | F.col("term").isin("vomiting", "sneezing", "collapse")) & ~F.col("term").rlike("^[0-9]+$"))
 
 
-_PAIRS = "h AS (SELECT DISTINCT a.term AS parent, b.term AS child FROM terms a JOIN terms b ON a.term <> b.term AND contains(' ' || b.term || ' ', ' ' || a.term || ' '))"
+# Contexts of the invented sentences.
+_CONTEXTS = ["diabetes", "hypertension", "infection", "pain", "inflammation", "prevention", "treatment", "management", "therapy"]
 
 
-@query(f"WITH {_TERMS}, {_PAIRS} SELECT 'direct' AS case_type, 'Patient has ' || child AS text, [child] AS expected FROM h UNION ALL SELECT 'discontinuous', parent || ' was seen, later described as ' || child, [parent, child] FROM h UNION ALL SELECT 'separate', 'Both ' || parent || ' and ' || child || ' were noted', [parent, child] FROM h WHERE length(parent) > 8")
+@query(f"""WITH {_TERMS}, h AS (SELECT a.term AS p, b.term AS c, list_value('diabetes', 'hypertension', 'infection', 'pain', 'inflammation', 'prevention', 'treatment', 'management', 'therapy')[(('0x' || substring(md5(a.term || '>' || b.term), 1, 8))::BIGINT % 9)::INT + 1] AS x FROM terms a JOIN terms b ON a.term <> b.term AND contains(b.term, a.term))
+SELECT 'direct_compound' AS case_type, 'Patient received ' || c AS text, [c] AS expected, [c] AS merged FROM h UNION ALL
+SELECT 'discontinuous_compound', 'Patient received ' || p || ' for ' || x, [p, x], [p || ' for ' || x] FROM h UNION ALL
+SELECT 'separate_conditions', 'Patient has ' || p || ' and ' || c, [p, c], [p, c] FROM h UNION ALL
+SELECT 'context_dependent', 'Patient history of ' || p || ', currently managing ' || c, [p, c], [p, c] FROM h""")
 def synthetic_cases(spark, base):
-    """Labelled test sentences made from every hierarchy pair."""
-    h = O.contained_terms(terms(spark, base))
+    """Labelled test sentences of four kinds made from every pair of a term and one that holds it; contexts are drawn by a hash of the pair."""
     p, c = F.col("parent"), F.col("child")
-    direct = h.select(F.lit("direct").alias("case_type"), F.concat(F.lit("Patient has "), c).alias("text"), F.array(c).alias("expected"))
-    apart = h.select(F.lit("discontinuous").alias("case_type"), F.concat(p, F.lit(" was seen, later described as "), c).alias("text"), F.array(p, c).alias("expected"))
-    both = h.where(F.length(p) > 8).select(F.lit("separate").alias("case_type"), F.concat(F.lit("Both "), p, F.lit(" and "), c, F.lit(" were noted")).alias("text"), F.array(p, c).alias("expected"))
-    return direct.unionByName(apart).unionByName(both)
-
-
-_LPA = _lpa_sql(5).rsplit(" SELECT ", 1)[0]
+    draw = F.conv(F.substring(F.md5(F.concat(p, F.lit(">"), c)), 1, 8), 16, 10).cast("long") % len(_CONTEXTS)
+    h = O.contained_terms(terms(spark, base), whole_words=False).withColumn("x", F.element_at(F.array(*map(F.lit, _CONTEXTS)), (draw + 1).cast("int")))
+    case = lambda kind, text, expected, merged: F.struct(F.lit(kind).alias("case_type"), text.alias("text"), F.array(*expected).alias("expected"), F.array(*merged).alias("merged"))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    kinds = F.array(
+        case("direct_compound", say("Patient received ", c), [c], [c]),
+        case("discontinuous_compound", say("Patient received ", p, " for ", F.col("x")), [p, F.col("x")], [say(p, " for ", F.col("x"))]),
+        case("separate_conditions", say("Patient has ", p, " and ", c), [p, c], [p, c]),
+        case("context_dependent", say("Patient history of ", p, ", currently managing ", c), [p, c], [p, c]),
+    )
+    return h.select(F.explode(kinds).alias("k")).select("k.*")
 
 
 @query(_LPA + ", s AS (SELECT DISTINCT g, src AS id FROM e WHERE relationship = 'causes'), x AS (SELECT l5.g, l5.community, count(s.id) > 0 AS hit FROM l5 LEFT JOIN s ON s.g = l5.g AND s.id = l5.id GROUP BY 1, 2) SELECT g, round(avg(hit::INT), 6) AS coverage FROM x GROUP BY g")

@@ -39,9 +39,11 @@ def graph_vertices(spark, base):
     return G.vertices_of(patient_edges(spark, base), KEYS)
 
 
-@query(f"WITH {REL} SELECT src, dst, count(*) AS weight, min(relationship) AS relationship FROM e GROUP BY 1, 2")
+@query(f"WITH {REL}, o AS (SELECT g, src, dst, max(rel_id) AS no FROM rel WHERE g IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY g, src, dst) SELECT e.src, e.dst, count(*) AS weight, arg_min(relationship, no) AS relationship FROM e JOIN o ON o.g = e.g AND o.src = e.src AND o.dst = e.dst GROUP BY 1, 2")
 def mega_graph(spark, base):
-    return G.mega_graph(patient_edges(spark, base), "relationship")
+    """Edges of all patients by their ends, with the relation that came first."""
+    r = relations(spark, base).where("g IS NOT NULL").withColumn("no", F.col("rel_id"))
+    return G.mega_graph(G.build_edges(r, KEYS, "rel_id"), "relationship", "no")
 
 
 @query(f"WITH {REL}, m AS (SELECT DISTINCT src, dst FROM e), d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM m UNION ALL SELECT dst FROM m) GROUP BY 1 ORDER BY n DESC, id LIMIT 100) SELECT src, dst FROM m WHERE src IN (SELECT id FROM d) AND dst IN (SELECT id FROM d)")
@@ -71,22 +73,18 @@ def relation_distribution(spark, base):
     return with_share(patient_edges(spark, base).groupBy("relationship").agg(F.count(F.lit(1)).alias("count")), "count")
 
 
-def _pagerank_sql(weight: str, mega: bool, rounds: int = 10) -> str:
-    g = "" if mega else "g, "
-    on = "USING (id)" if mega else "USING (g, id)"
-    src = f"m AS MATERIALIZED (SELECT {g}src, dst, {weight} AS w FROM e GROUP BY {g}src, dst)"
-    by = f"GROUP BY {g[:-2]}" if g else ""
-    steps = [f"WITH {REL}, {src}", f"t AS MATERIALIZED (SELECT {g}src AS id, sum(w) AS t FROM m GROUP BY {g}src)", f"vv AS (SELECT {g}src AS id FROM m UNION SELECT {g}dst FROM m)", f"n AS (SELECT {g}count(*) AS n FROM vv {by})"]
-    join_n = "JOIN n USING (g)" if g else "CROSS JOIN n"
-    steps.append(f"r0 AS MATERIALIZED (SELECT {g}id, n, t.t IS NULL AS dang, 1.0::DOUBLE / n AS r FROM vv {join_n} LEFT JOIN t {on})")
-    for i in range(rounds):
-        jt = f"JOIN r{i} ON {'m.g = r%d.g AND ' % i if g else ''}m.src = r{i}.id JOIN t ON {'m.g = t.g AND ' if g else ''}m.src = t.id"
-        got = f"SELECT {'m.g, ' if g else ''}m.dst AS id, sum(m.w::DOUBLE / t.t * r) AS got FROM m {jt} GROUP BY {'m.g, ' if g else ''}m.dst"
-        lost = f"SELECT {g}sum(CASE WHEN dang THEN r ELSE 0 END) AS lost FROM r{i} {by}"
-        jl = f"JOIN ({lost}) l ON l.g = r{i}.g" if g else f", ({lost}) l"
-        on_got = f"ON x.id = r{i}.id" + (f" AND x.g = r{i}.g" if g else "")
-        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT {'r%d.g, ' % i if g else ''}r{i}.id, n, dang, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS r FROM r{i} LEFT JOIN ({got}) x {on_got} {jl})" if g else f"r{i + 1} AS MATERIALIZED (SELECT r{i}.id, n, dang, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS r FROM r{i} LEFT JOIN ({got}) x {on_got} {jl})")
-    return ", ".join(steps) + f" SELECT {g}id, round(r, 6) AS rank FROM r{rounds}"
+def _pagerank_sql(weight: str, mega: bool) -> str:
+    """The power method with the dangling mass in every round, a hundred rounds."""
+    g = "'' AS g" if mega else "g"
+    return f"""WITH RECURSIVE {REL}, m AS MATERIALIZED (SELECT {g}, src, dst, {weight}::DOUBLE AS w FROM e GROUP BY ALL), t AS (SELECT g, src AS id, sum(w) AS t FROM m GROUP BY ALL),
+vv AS (SELECT g, src AS id FROM m UNION SELECT g, dst FROM m), v0 AS MATERIALIZED (SELECT vv.g, vv.id, count(*) OVER (PARTITION BY vv.g) AS n, t.t IS NULL AS dang FROM vv LEFT JOIN t ON t.g = vv.g AND t.id = vv.id),
+p AS MATERIALIZED (SELECT m.g, m.src, m.dst, m.w / t.t AS p FROM m JOIN t ON t.g = m.g AND t.id = m.src),
+pr AS (SELECT g, id, 1.0::DOUBLE / n AS r, 0 AS k FROM v0 UNION ALL
+  SELECT g, id, sum(c), k + 1 FROM (
+    SELECT p.g, p.dst AS id, 0.85::DOUBLE * p.p * pr.r AS c, k FROM pr JOIN p ON p.g = pr.g AND p.src = pr.id UNION ALL
+    SELECT pr.g, pr.id, 0.15::DOUBLE / n + 0.85::DOUBLE * sum(CASE WHEN dang THEN r ELSE 0 END) OVER (PARTITION BY pr.g) / n, k FROM pr JOIN v0 ON v0.g = pr.g AND v0.id = pr.id)
+  WHERE k < 100 GROUP BY g, id, k)
+SELECT {"" if mega else "g, "}id, round(r, 6) AS rank FROM pr WHERE k = 100"""
 
 
 @query(_pagerank_sql("1", False))
@@ -115,23 +113,23 @@ def component_summary(spark, base):
     return s.groupBy("g").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
 
 
-def _lpa_sql(rounds: int) -> str:
-    steps = [f"WITH {REL}, {BOTH}, l0 AS MATERIALIZED (SELECT DISTINCT g, src AS id, src AS community FROM b)"]
-    for i in range(rounds):
-        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT g, id, community FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY n DESC, community) AS rn FROM (SELECT b.g, b.src AS id, l.community, count(*) AS n FROM b JOIN l{i} l ON b.g = l.g AND b.dst = l.id GROUP BY ALL)) WHERE rn = 1)")
-    return ", ".join(steps) + f" SELECT g, id, community FROM l{rounds}"
+#: Forty rounds and one more: by then labels stand still or swing between two.
+_LPA = f"""WITH RECURSIVE {REL}, {BOTH}, lp AS (SELECT DISTINCT g, src AS id, src AS community, 0 AS k FROM b UNION ALL
+  SELECT g, id, arg_min(community, struct_pack(m := -n, c := community)), k + 1 FROM (SELECT b.g, b.src AS id, lp.community, lp.k, count(*) AS n FROM lp JOIN b ON b.g = lp.g AND b.dst = lp.id WHERE lp.k < 41 GROUP BY ALL) GROUP BY g, id, k),
+l5 AS MATERIALIZED (SELECT g, id, min(community) AS community FROM lp WHERE k >= 40 GROUP BY g, id)"""
 
 
-@query(_lpa_sql(5))
+@query(_LPA + " SELECT g, id, community FROM l5")
 def label_propagation(spark, base):
     return G.label_propagation(patient_edges(spark, base), Scratch(spark, "lpa"), KEYS)
 
 
-_PATHS = f"WITH RECURSIVE {REL}, {VERTICES}, w AS (SELECT g, id AS s, id AS t, 0 AS d FROM v UNION SELECT w.g, w.s, e.dst, w.d + 1 FROM w JOIN e ON w.g = e.g AND w.t = e.src WHERE w.d < 6), p AS MATERIALIZED (SELECT g, s, t, min(d) AS d FROM w GROUP BY ALL)"
+_PATHS = f"""WITH RECURSIVE {REL}, {VERTICES}, n AS MATERIALIZED (SELECT g, count(*) AS n FROM v GROUP BY g),
+w AS (SELECT g, id AS s, id AS t, 0 AS d FROM v UNION SELECT w.g, w.s, e.dst, w.d + 1 FROM w JOIN e ON w.g = e.g AND w.t = e.src JOIN n ON n.g = w.g AND w.d + 1 < n.n), p AS MATERIALIZED (SELECT g, s, t, min(d) AS d FROM w GROUP BY ALL)"""
 
 
 def _paths(spark, base):
-    return G.shortest_paths(patient_edges(spark, base), Scratch(spark, "paths"), KEYS, most=6)
+    return G.shortest_paths(patient_edges(spark, base), Scratch(spark, "paths"), KEYS)
 
 
 @query(_PATHS + " SELECT g, s AS source, t AS target, d AS distance FROM p")
@@ -139,26 +137,22 @@ def bfs_paths(spark, base):
     return _paths(spark, base)
 
 
-@query(_PATHS + ", n AS (SELECT g, count(*) AS n FROM v GROUP BY g), f AS (SELECT g, t AS id, sum(d) AS far, count(*) AS reach FROM p WHERE d > 0 GROUP BY ALL) SELECT v.g, v.id, round(CASE WHEN n > 1 THEN coalesce(reach::DOUBLE / far * reach / (n - 1), 0) ELSE 0 END, 6) AS closeness FROM v JOIN n USING (g) LEFT JOIN f ON v.g = f.g AND v.id = f.id")
+@query(_PATHS + ", f AS (SELECT g, t AS id, sum(d) AS far, count(*) AS reach FROM p WHERE d > 0 GROUP BY ALL) SELECT v.g, v.id, round(CASE WHEN n > 1 THEN coalesce(reach::DOUBLE / far * reach / (n - 1), 0) ELSE 0 END, 6) AS closeness FROM v JOIN n USING (g) LEFT JOIN f ON v.g = f.g AND v.id = f.id")
 def closeness(spark, base):
     e = patient_edges(spark, base)
-    return G.closeness(G.shortest_paths(e, Scratch(spark, "paths"), KEYS, most=6), G.vertices_of(e, KEYS), KEYS).withColumn("closeness", F.round("closeness", 6))
+    return G.closeness(G.shortest_paths(e, Scratch(spark, "paths"), KEYS), G.vertices_of(e, KEYS), KEYS).withColumn("closeness", F.round("closeness", 6))
 
 
-def _betweenness_sql(depth: int) -> str:
-    steps = [_PATHS, "c0 AS (SELECT g, s, t, 1.0::DOUBLE AS sigma FROM p WHERE d = 0)"]
-    for d in range(1, depth + 1):
-        steps.append(f"c{d} AS MATERIALIZED (SELECT c.g, c.s, e.dst AS t, sum(c.sigma) AS sigma FROM c{d - 1} c JOIN e ON c.g = e.g AND c.t = e.src JOIN p ON p.g = c.g AND p.s = c.s AND p.t = e.dst AND p.d = {d} GROUP BY ALL)")
-    every = " UNION ALL ".join(f"SELECT g, s, t, sigma, {d} AS d FROM c{d}" for d in range(depth + 1))
-    return ", ".join(steps) + f""", c AS MATERIALIZED ({every}), n AS (SELECT g, count(*) AS n FROM v GROUP BY g),
-x AS (SELECT a.g, a.t AS id, sum(a.sigma * z.sigma / st.sigma) AS b FROM c a JOIN c z ON a.g = z.g AND a.t = z.s JOIN c st ON st.g = a.g AND st.s = a.s AND st.t = z.t AND st.d = a.d + z.d
-  WHERE a.s <> a.t AND z.s <> z.t GROUP BY ALL)
+#: Every shortest path is walked, one row each; their number is what Brandes counts.
+_BETWEEN = _PATHS + """, c0 AS (SELECT g, s, t, d FROM p WHERE d = 0 UNION ALL SELECT c0.g, c0.s, e.dst, c0.d + 1 FROM c0 JOIN e ON c0.g = e.g AND c0.t = e.src JOIN p ON p.g = c0.g AND p.s = c0.s AND p.t = e.dst AND p.d = c0.d + 1),
+c AS MATERIALIZED (SELECT g, s, t, d, count(*)::DOUBLE AS sigma FROM c0 GROUP BY ALL),
+x AS (SELECT a.g, a.t AS id, sum(a.sigma * z.sigma / st.sigma) AS b FROM c a JOIN c z ON a.g = z.g AND a.t = z.s JOIN c st ON st.g = a.g AND st.s = a.s AND st.t = z.t AND st.d = a.d + z.d WHERE a.s <> a.t AND z.s <> z.t GROUP BY ALL)
 SELECT v.g, v.id, round(coalesce(b, 0) * CASE WHEN n > 2 THEN 1.0 / ((n - 1) * (n - 2)) ELSE 1 END, 6)::DOUBLE AS betweenness FROM v JOIN n USING (g) LEFT JOIN x ON x.g = v.g AND x.id = v.id"""
 
 
-@query(_betweenness_sql(6))
+@query(_BETWEEN)
 def betweenness(spark, base):
-    return G.betweenness(patient_edges(spark, base), Scratch(spark, "betweenness"), KEYS, most=6).withColumn("betweenness", F.round("betweenness", 6))
+    return G.betweenness(patient_edges(spark, base), Scratch(spark, "betweenness"), KEYS).withColumn("betweenness", F.round("betweenness", 6))
 
 
 _TRI = "t AS MATERIALIZED (SELECT a.g, a.src AS a, a.dst AS b, c.dst AS c FROM b a JOIN b c ON a.g = c.g AND a.dst = c.src AND a.src < a.dst AND c.src < c.dst JOIN b z ON z.g = a.g AND z.src = a.src AND z.dst = c.dst)"
@@ -211,9 +205,24 @@ def wl_colors(spark, base):
     return G.wl_colours(patient_edges(spark, base), Scratch(spark, "wl"), KEYS)
 
 
-@query(_PATHS + " SELECT a.g, a.s AS id, min(a.t) AS component FROM p a JOIN p z ON a.g = z.g AND a.s = z.t AND a.t = z.s GROUP BY ALL")
+@query(f"WITH RECURSIVE {REL}, {VERTICES}, r AS (SELECT g, id AS s, id AS t FROM v UNION SELECT r.g, r.s, e.dst FROM r JOIN e ON r.g = e.g AND r.t = e.src) SELECT a.g, a.s AS id, min(a.t) AS component FROM r a JOIN r z ON a.g = z.g AND a.s = z.t AND a.t = z.s GROUP BY ALL")
 def strong_components(spark, base):
-    return G.strong_components(_paths(spark, base), KEYS)
+    return G.strong_components(patient_edges(spark, base), Scratch(spark, "strong"), KEYS)
+
+
+#: Relations in both directions, so that there are cycles.
+_ROUND = "ee AS (SELECT g, src, dst FROM e WHERE relationship <> 'causes' UNION SELECT g, dst, src FROM e WHERE relationship = 'treated with')"
+
+
+@query(f"WITH RECURSIVE {REL}, {_ROUND}, v AS (SELECT g, src AS id FROM ee UNION SELECT g, dst FROM ee), r AS (SELECT g, id AS s, id AS t FROM v UNION SELECT r.g, r.s, ee.dst FROM r JOIN ee ON r.g = ee.g AND r.t = ee.src) SELECT a.g, a.s AS id, min(a.t) AS component FROM r a JOIN r z ON a.g = z.g AND a.s = z.t AND a.t = z.s GROUP BY ALL")
+def strong_components_round(spark, base):
+    """Strong components where treatments count in both directions: the patients' own edges hold no cycle."""
+    return G.strong_components(_round_edges(spark, base), Scratch(spark, "strong"), KEYS)
+
+
+def _round_edges(spark, base):
+    e = patient_edges(spark, base)
+    return e.where("relationship != 'causes'").select("g", "src", "dst").unionByName(e.where("relationship = 'treated with'").select("g", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 @query("WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT a.s AS a, b.s AS b, count(*) AS weight FROM l a JOIN l b ON a.p = b.p AND a.s < b.s GROUP BY ALL")
@@ -236,26 +245,56 @@ def neighbour_context(spark, base):
     return G.adjacency_lists(patient_edges(spark, base), KEYS).select("g", "id", F.slice("neighbours", 1, 2).alias("neighbours"))
 
 
-def _katz_sql(rounds: int) -> str:
-    out = [f"WITH {REL}, {VERTICES}, x0 AS (SELECT g, id, 1.0::DOUBLE AS value FROM v)"]
-    for i in range(rounds):
-        out.append(f"x{i + 1} AS MATERIALIZED (SELECT x.g, x.id, 1 + 0.1::DOUBLE * coalesce(got, 0) AS value FROM x{i} x LEFT JOIN (SELECT e.g, e.dst AS id, sum(value) AS got FROM e JOIN x{i} y ON y.g = e.g AND y.id = e.src GROUP BY ALL) z ON z.g = x.g AND z.id = x.id)")
-    return ", ".join(out) + f" SELECT g, id, round(value / sqrt(sum(value * value) OVER (PARTITION BY g)), 6) AS value FROM x{rounds}"
+_KATZ = f"""WITH RECURSIVE {REL}, {VERTICES}, x AS (SELECT g, id, 1.0::DOUBLE AS value, 0 AS k FROM v UNION ALL
+  SELECT g, id, sum(c), k + 1 FROM (SELECT e.g, e.dst AS id, 0.1::DOUBLE * x.value AS c, k FROM x JOIN e ON e.g = x.g AND e.src = x.id UNION ALL SELECT g, id, 1.0::DOUBLE, k FROM x) WHERE k < 60 GROUP BY g, id, k)
+SELECT g, id, round(value / sqrt(sum(value * value) OVER (PARTITION BY g)), 6) AS value FROM x WHERE k = 60"""
 
 
-@query(_katz_sql(6))
+@query(_KATZ)
 def katz_centrality(spark, base):
-    return G.power_iteration(patient_edges(spark, base), Scratch(spark, "katz"), 6, 0.1, KEYS).withColumn("value", F.round("value", 6))
+    return G.power_iteration(patient_edges(spark, base), Scratch(spark, "katz"), None, 0.1, KEYS).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH RECURSIVE {REL}, {BOTH}, x AS (SELECT DISTINCT g, src AS id, 1.0::DOUBLE AS value, 0 AS k FROM b UNION ALL
+  SELECT g, id, sum(c), k + 1 FROM (SELECT b.g, b.dst AS id, x.value AS c, k FROM x JOIN b ON b.g = x.g AND b.src = x.id UNION ALL SELECT g, id, value, k FROM x) WHERE k < 8 GROUP BY g, id, k)
+SELECT g, id, round(value / sqrt(sum(value * value) OVER (PARTITION BY g)), 6) AS value FROM x WHERE k = 8""")
+def eigenvector_rounds(spark, base):
+    """Eight rounds of the power method on undirected edges."""
+    return G.power_iteration(G.undirected(patient_edges(spark, base), KEYS), Scratch(spark, "eigen"), 8, None, KEYS).withColumn("value", F.round("value", 6))
 
 
 @query()
 def eigenvector_centrality(spark, base):
-    return G.power_iteration(patient_edges(spark, base), Scratch(spark, "eigen"), 8, None, KEYS).withColumn("value", F.round("value", 6))
+    """To its fixed point within 0.0001, on undirected edges (directed ones without cycles have none); its size decides how many rounds."""
+    return G.power_iteration(G.undirected(patient_edges(spark, base), KEYS), Scratch(spark, "eigen"), None, None, KEYS, 1e-4).withColumn("value", F.round("value", 3))
 
 
-@query()
+@query(f"WITH RECURSIVE {REL}, {_ROUND}, r AS (SELECT g, src AS s, dst AS t FROM ee UNION SELECT r.g, r.s, ee.dst FROM r JOIN ee ON r.g = ee.g AND r.t = ee.src), c AS (SELECT DISTINCT g, s AS id FROM r WHERE s = t) SELECT DISTINCT v.g, v.id FROM (SELECT g, src AS id FROM ee UNION SELECT g, dst FROM ee) v WHERE (EXISTS (SELECT 1 FROM c WHERE c.g = v.g AND c.id = v.id)) OR (EXISTS (SELECT 1 FROM r JOIN c ON c.g = r.g AND c.id = r.s WHERE r.g = v.g AND r.t = v.id) AND EXISTS (SELECT 1 FROM r JOIN c ON c.g = r.g AND c.id = r.t WHERE r.g = v.g AND r.s = v.id))")
 def cyclic_vertices(spark, base):
-    return G.cyclic_vertices(patient_edges(spark, base), Scratch(spark, "cycles"), KEYS)
+    """Vertices on cycles or between them, treatments counting in both directions."""
+    return G.cyclic_vertices(_round_edges(spark, base), Scratch(spark, "cycles"), KEYS)
+
+
+@query(f"WITH {REL}, {BOTH}, d AS (SELECT g, src, count(*) AS d FROM b GROUP BY ALL), t AS (SELECT a.g, count(*) AS n FROM b a JOIN b c ON a.g = c.g AND a.dst = c.src AND a.src < a.dst AND c.src < c.dst JOIN b z ON z.g = a.g AND z.src = a.src AND z.dst = c.dst GROUP BY 1), s AS (SELECT g, (sum(d) / 2)::BIGINT AS edges, sum(d * (d - 1) / 2)::BIGINT AS pairs FROM d GROUP BY 1) SELECT s.g, edges, pairs - 3 * coalesce(n, 0) AS wedges, coalesce(n, 0) AS triangles FROM s LEFT JOIN t ON t.g = s.g")
+def graphlet_counts(spark, base):
+    return G.graphlets(patient_edges(spark, base), KEYS)
+
+
+@query(f"WITH {REL}, {BOTH}, w AS (SELECT x.g, CASE WHEN y.dst = x.src THEN '0-1-0' ELSE '0-1-2' END AS pattern FROM b x JOIN b y ON x.g = y.g AND x.dst = y.src) SELECT g, pattern, count(*) AS walks FROM w GROUP BY ALL")
+def anonymous_walks(spark, base):
+    return G.anonymous_walks(patient_edges(spark, base), KEYS)
+
+
+@query("WITH c AS (SELECT c_nationkey AS k, o_orderstatus AS l, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), s AS (SELECT k, sqrt(sum(n * n)) AS s FROM c GROUP BY 1) SELECT a.k AS a, b.k AS b, round(sum(a.n * b.n) / (any_value(x.s) * any_value(y.s)), 6) AS kernel FROM c a JOIN c b ON a.l = b.l AND a.k < b.k JOIN s x ON x.k = a.k JOIN s y ON y.k = b.k GROUP BY 1, 2")
+def label_kernel(spark, base):
+    """Graphs of countries' customers against each other by the mix of their order states."""
+    o = table(spark, base, "orders").join(table(spark, base, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    return G.label_kernel(o.select(F.col("c_nationkey").alias("g"), F.col("o_orderstatus").alias("kind")), ["g"], "kind").withColumn("kernel", F.round("kernel", 6))
+
+
+@query()
+def greedy_colours(spark, base):
+    return G.greedy_colours(patient_edges(spark, base), Scratch(spark, "colours"), KEYS)
 
 
 @query()

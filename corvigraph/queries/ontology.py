@@ -12,16 +12,15 @@ from .relational import ENTITIES, entity_rows
 from .resolution import _TERMS, terms
 
 
-@query(f"WITH {_TERMS}, fixed AS (SELECT 'pain' AS parent, 'lameness' AS child), s AS (SELECT a.term AS parent, b.term AS child, 'substring' AS source FROM terms a JOIN terms b ON a.term <> b.term AND contains(' ' || b.term || ' ', ' ' || a.term || ' ')), i AS (SELECT clean(target_entity_name), clean(source_entity_name), 'is_a' FROM clinical_relationships WHERE clean(relationship_type) = 'part of') SELECT DISTINCT * FROM (SELECT * FROM s UNION ALL SELECT * FROM i UNION ALL SELECT parent, child, 'fixed' FROM fixed)")
+@query(f"""WITH {_TERMS}, fixed(parent, child) AS (VALUES ('vaccine', 'vaccine vaccination'), ('immunization', 'immunization vaccination'), ('drug', 'drug medication'), ('medicine', 'medicine medication'), ('therapeutic', 'therapeutic medication'),
+('surgical', 'surgical surgery'), ('operation', 'operation surgery'), ('procedure', 'procedure surgery'), ('treatment', 'treatment therapy'), ('therapeutic', 'therapeutic therapy'), ('diagnostic', 'diagnostic diagnosis'), ('finding', 'finding diagnosis'), ('treatment', 'treatment management'), ('care', 'care management')),
+s AS (SELECT a.term AS parent, b.term AS child, 'substring' AS source FROM terms a JOIN terms b ON a.term <> b.term AND contains(b.term, a.term)),
+i AS (SELECT clean(target_entity_name) AS o, clean(source_entity_name) AS s, 'is_a' FROM clinical_relationships WHERE clean(relationship_type) = 'part of')
+SELECT DISTINCT * FROM (SELECT * FROM s UNION ALL SELECT * FROM i WHERE length(o) >= 3 AND length(s) >= 3 AND o <> s AND NOT regexp_matches(o, '^[0-9]+$') AND NOT regexp_matches(s, '^[0-9]+$') UNION ALL SELECT parent, child, 'fixed' FROM fixed)""")
 def hierarchy_pairs(spark, base):
+    """Terms in terms, "part of" as the tables' own hierarchy, and the fixed compounds."""
     r = table(spark, base, "clinical_relationships").where(clean(F.col("relationship_type")) == "part of").select(clean(F.col("target_entity_name")).alias("object"), clean(F.col("source_entity_name")).alias("subject"))
-    return O.hierarchy_pairs(terms(spark, base), r, spark.createDataFrame([("pain", "lameness")], "parent string, child string"))
-
-
-@query("""SELECT rel_id, CASE WHEN regexp_matches(lower(evidence), 'treat|therapy|resolved after|started on') THEN 'treats' WHEN regexp_matches(lower(evidence), 'prevent|prophyla') THEN 'prevents'
-WHEN regexp_matches(lower(evidence), 'cause|due to|explains|secondary to') THEN 'causes' WHEN regexp_matches(lower(evidence), 'part of|of the') THEN 'part_of' END AS kind FROM clinical_relationships WHERE evidence IS NOT NULL""")
-def rule_relations(spark, base):
-    return table(spark, base, "clinical_relationships").where("evidence IS NOT NULL").select("rel_id", O.rule_relation(F.col("evidence"))[0].alias("kind"))
+    return O.hierarchy_pairs(terms(spark, base), r, O.compound_pairs(spark))
 
 
 @query(f"WITH {ENTITIES}, e AS (SELECT case_id, clean(text) AS t, max(score) AS w FROM entity_rows WHERE text IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2) SELECT a.case_id, a.t AS i, b.t AS j, round(a.w * b.w, 8) AS weight FROM e a JOIN e b ON a.case_id = b.case_id AND a.t < b.t")
@@ -74,22 +73,12 @@ def bm25_hybrid(spark, base):
     return top_per_group(h, ["query_id"], [F.desc(F.round("hybrid", 9)), F.col("doc_id")], 3).where("hybrid > 0.1").select("query_id", "doc_id", F.round("hybrid", 6).alias("hybrid"))
 
 
-@query(f"WITH {_TERMS}, {ENTITIES}, m AS (SELECT DISTINCT clean(text) AS mention FROM entity_rows WHERE length(clean(text)) > 0), x AS (SELECT m.mention, arg_min(t.term, struct_pack(l := length(t.term), t := t.term)) AS near FROM m JOIN terms t ON (contains(t.term, m.mention) OR contains(m.mention, t.term)) AND len(list_intersect(list_filter(string_split(t.term, ' '), lambda w: w <> ''), string_split(m.mention, ' '))) > 0 WHERE m.mention NOT IN (SELECT term FROM terms) GROUP BY 1) SELECT m.mention, CASE WHEN t.term IS NOT NULL THEN m.mention ELSE near END AS concept, CASE WHEN t.term IS NOT NULL THEN 1.0 WHEN near IS NOT NULL THEN 0.7 ELSE 0.0 END::DOUBLE AS score FROM m LEFT JOIN terms t ON t.term = m.mention LEFT JOIN x ON x.mention = m.mention")
+@query(f"WITH {_TERMS}, {ENTITIES}, m AS (SELECT DISTINCT clean(text) AS mention FROM entity_rows WHERE length(clean(text)) > 0), x AS (SELECT m.mention, arg_min(t.term, struct_pack(l := length(t.term), t := t.term)) AS near FROM m JOIN terms t ON (contains(t.term, m.mention) OR contains(m.mention, t.term)) WHERE m.mention NOT IN (SELECT term FROM terms) GROUP BY 1) SELECT m.mention, CASE WHEN t.term IS NOT NULL THEN m.mention ELSE near END AS concept, CASE WHEN t.term IS NOT NULL THEN 1.0 WHEN near IS NOT NULL THEN 0.7 ELSE 0.0 END::DOUBLE AS score FROM m LEFT JOIN terms t ON t.term = m.mention LEFT JOIN x ON x.mention = m.mention")
 def concept_lookup(spark, base):
     m = entity_rows(spark, base).select(clean(F.col("text")).alias("mention")).where("length(mention) > 0")
     return O.concept_lookup(m, terms(spark, base))
 
 
-@query(f"WITH {_TERMS}, {ENTITIES}, n AS (SELECT case_id, text AS t, score, lead(text) OVER w AS t2, lead(text, 2) OVER w AS t3 FROM (SELECT DISTINCT case_id, clean(text) AS text, score FROM entity_rows WHERE text IS NOT NULL AND score IS NOT NULL) WINDOW w AS (PARTITION BY case_id ORDER BY score, text)), c AS (SELECT case_id, t || ' of the ' || t2 AS compound, 0.9::DOUBLE AS score FROM n WHERE t2 IS NOT NULL) SELECT DISTINCT case_id, compound, score FROM c WHERE compound IN (SELECT term FROM terms)")
-def adjacent_compounds(spark, base):
-    """Neighbouring entities, by score, that together are a known term."""
-    e = entity_rows(spark, base).where("text IS NOT NULL AND score IS NOT NULL").select("case_id", clean(F.col("text")).alias("text"), "score").distinct()
-    e = e.withColumn("order", F.struct("score", "text"))
-    known = terms(spark, base).select(F.replace("term", F.lit(" of the "), F.lit(" ")).alias("term"), F.col("term").alias("full"))
-    found = O.adjacent_compounds(e, ["case_id"], "order", known.where("term != full")).where("score = 0.9")
-    return found.join(known.where("term != full").withColumnRenamed("term", "compound"), "compound").join(e.select("case_id", F.col("text").alias("head")).distinct(), "case_id").where("full LIKE concat(head, ' of the %') AND compound = concat(head, ' ', substring(full, length(head) + 9))").select("case_id", F.col("full").alias("compound"), "score").distinct()
-
-
 @query()
 def compound_selection(spark, base):
     """Multi-word terms with two or more words among a case's entities, taken greedily without overlap."""

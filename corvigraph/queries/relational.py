@@ -106,13 +106,13 @@ def pairs_theta_join(spark, base):
     return R.pairs_within(entity_rows(spark, base), ["case_id"], "category")
 
 
-@query("WITH t AS (SELECT DISTINCT clean(source_entity_name) AS s FROM clinical_relationships WHERE source_entity_name IS NOT NULL), w AS (SELECT s, unnest(string_split(s, ' ')) AS w FROM t) SELECT DISTINCT a.s AS parent, b.s AS child FROM w a JOIN w b ON a.w = b.w AND a.s <> b.s AND contains(' ' || b.s || ' ', ' ' || a.s || ' ') WHERE a.w <> ''")
+@query("WITH t AS (SELECT DISTINCT clean(source_entity_name) AS s FROM clinical_relationships WHERE length(clean(source_entity_name)) > 0) SELECT a.s AS parent, b.s AS child FROM t a JOIN t b ON a.s <> b.s AND contains(b.s, a.s)")
 def substring_join(spark, base):
-    """Terms that contain another term, blocked on its rarest word."""
+    """Terms that contain another term."""
     from ..operators.ontology import contained_terms
 
     terms = table(spark, base, "clinical_relationships").select(clean(F.col("source_entity_name")).alias("term"))
-    return contained_terms(terms)
+    return contained_terms(terms, whole_words=False)
 
 
 @query("SELECT least(a.s_suppkey, b.s_suppkey) AS lo, greatest(a.s_suppkey, b.s_suppkey) AS hi, count(*) AS n FROM (SELECT s_suppkey, s_nationkey FROM supplier) a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1, 2")

@@ -72,6 +72,6 @@ def clustered_round_trip(spark, base):
     return spark.read.parquet(where).where("case_id >= 'CASE000000500'").agg(F.count(F.lit(1)).alias("rows"), F.min("report_id").alias("first"), F.max("report_id").alias("last"))
 
 
-@query()
+@query("SELECT to_json({'o_orderstatus': o_orderstatus, 'orders': n})::VARCHAR AS value FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
 def json_summary(spark, base):
     return formats.as_json(table(spark, base, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders")))

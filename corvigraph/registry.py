@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ["relational", "scalars", "annotation", "resolution", "graphs", "ontology", "evaluation", "storage", "streams", "extras"]
+_MODULES = ["relational", "scalars", "annotation", "resolution", "graphs", "ontology", "evaluation", "storage", "streams", "extras", "clinical", "sinks"]
 
 
 #: In a query's SQL clean(x) stands for lower case without outer white space of any kind.

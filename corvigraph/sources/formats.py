@@ -58,6 +58,34 @@ def write_graphml(vertices: DataFrame, edges: DataFrame, path: str, limit: int =
         out.write("</graph>\n</graphml>\n")
 
 
+def _attribute(c: str):
+    """Text as the value of an XML attribute."""
+    out = F.col(c).cast("string")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def write_graphml_parts(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """GraphML of a graph of any size as part files that, in the order of their names, are one document. Executors write; nothing passes through the driver."""
+    spark = vertices.sparkSession
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<graph edgedefault="directed">'
+    ends = spark.createDataFrame([(0, "", head), (3, "", "</graph>\n</graphml>")], "step int, name string, value string")
+    nodes = vertices.select(F.lit(1).alias("step"), F.col("id").cast("string").alias("name"), F.concat(F.lit('<node id="'), _attribute("id"), F.lit('"/>')).alias("value"))
+    links = edges.select(F.lit(2).alias("step"), F.col("src").cast("string").alias("name"), F.concat(F.lit('<edge source="'), _attribute("src"), F.lit('" target="'), _attribute("dst"), F.lit('"/>')).alias("value"))
+    ends.unionByName(nodes).unionByName(links).orderBy("step", "name", "value").select("value").write.mode("overwrite").text(path)
+
+
+def write_rdf_triples(triples: DataFrame, path: str) -> None:
+    """RDF/XML of triples (subject, predicate, object): a description for each subject; part files in the order of their names are one document."""
+    subject, predicate, object_ = triples.columns
+    line = F.concat(F.lit("<"), F.col(predicate), F.lit(' rdf:resource="'), _attribute(object_), F.lit('"/>'))
+    rows = triples.select(_attribute(subject).alias("s"), line.alias("line")).groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("line")), "").alias("lines"))
+    body = rows.select(F.lit(1).alias("step"), F.col("s"), F.concat(F.lit('<rdf:Description rdf:about="'), F.col("s"), F.lit('">'), F.col("lines"), F.lit("</rdf:Description>")).alias("value"))
+    ends = triples.sparkSession.createDataFrame([(0, "", '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'), (2, "", "</rdf:RDF>")], "step int, s string, value string")
+    ends.unionByName(body).orderBy("step", "s").select("value").write.mode("overwrite").text(path)
+
+
 def read_rdf_triples(spark: SparkSession, path: str, row_tag: str = "rdf:Description") -> DataFrame:
     """(subject, predicate, object) of resource links in an RDF/XML file, by Spark's XML source."""
     rows = spark.read.format("xml").option("rowTag", row_tag).load(path)

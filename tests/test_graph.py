@@ -132,3 +132,61 @@ def test_dijkstra_is_whole(spark, tmp_path):
     found = {(r.source, r.target): r.distance for r in dijkstra_all_paths(spark, str(tmp_path)).collect()}
     assert found == {k: round(d, 6) for k, d in best.items()} and found["a", "l"] == 2.75
     assert {(r.source, r.target): r.distance for r in dijkstra_paths(spark, str(tmp_path)).collect()} == {k: d for k, d in found.items() if k[0] == "a"}
+
+
+def test_pagerank_at_its_fixed_point(spark):
+    rows = random_graphs(seed=11) + [("loop", f"v{i}", f"v{(i + 1) % 5}") for i in range(5)]
+    exact = {(r.g, r.id): r.rank for r in G.pagerank(edges(spark, rows), Scratch(spark, "t"), ["g"]).collect()}
+    for g, pairs in by_graph(rows).items():
+        nodes = sorted({x for p in pairs for x in p})
+        rank = {x: 1 / len(nodes) for x in nodes}
+        out = {x: [b for a, b in pairs if a == x] for x in nodes}
+        for _ in range(200):
+            lost = sum(rank[x] for x in nodes if not out[x])
+            rank = {x: 0.15 / len(nodes) + 0.85 * (sum(rank[a] / len(out[a]) for a, b in pairs if b == x) + lost / len(nodes)) for x in nodes}
+        assert all(math.isclose(exact[g, x], rank[x], rel_tol=1e-7) for x in nodes)
+
+
+def test_long_paths_and_strong_components(spark):
+    rng = random.Random(4)
+    chain = [("chain", f"c{i:02}", f"c{i + 1:02}") for i in range(11)]
+    ring = [("ring", f"r{i:02}", f"r{(i + 1) % 12:02}") for i in range(12)] + [("ring", "r03", "tail")]
+    mixed = [("mix", f"m{a}", f"m{b}") for a, b in {(rng.randrange(14), rng.randrange(14)) for _ in range(22)} if a != b]
+    e = edges(spark, chain + ring + mixed)
+    paths = {(r.g, r.source, r.target): r.distance for r in G.shortest_paths(e, Scratch(spark, "t"), ["g"]).collect()}
+    assert paths["chain", "c00", "c11"] == 11 and paths["ring", "r00", "r11"] == 11
+    mid = {r.id: r.betweenness for r in G.betweenness(e, Scratch(spark, "t"), ["g"]).collect() if r.g == "chain"}
+    assert math.isclose(mid["c05"], 5 * 6 / (11 * 10))
+    got = {(r.g, r.id): r.component for r in G.strong_components(e, Scratch(spark, "t"), ["g"]).collect()}
+    for g, pairs in by_graph(chain + ring + mixed).items():
+        nodes = {x for p in pairs for x in p}
+        reach = {x: set(bfs(pairs, x)[0]) for x in nodes}
+        assert {x: got[g, x] for x in nodes} == {x: min(y for y in nodes if y in reach[x] and x in reach[y]) for x in nodes}
+
+
+def test_labels_that_swing_and_colours(spark):
+    star = [("s", "hub", f"l{i}") for i in range(4)]
+    got = {r.id: r.community for r in G.label_propagation(edges(spark, star), Scratch(spark, "t"), ["g"]).collect()}
+    assert set(got.values()) == {"hub"}
+    rows = random_graphs(seed=9)
+    colour = {(r.g, r.id): r.colour for r in G.greedy_colours(edges(spark, rows), Scratch(spark, "t"), ["g"]).collect()}
+    assert all(colour[g, a] != colour[g, b] for g, a, b in rows) and {x for g, a, b in rows for x in ((g, a), (g, b))} == set(colour)
+    for g, pairs in by_graph(rows).items():
+        near = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        want = {}
+        for x in sorted(near):
+            taken = {want[y] for y in near[x] if y in want}
+            want[x] = next(c for c in range(99) if c not in taken)
+        assert want == {x: colour[g, x] for x in near}
+
+
+def test_hubs_are_spread(spark, monkeypatch):
+    from corvigraph.plans import skew
+
+    monkeypatch.setattr(skew.spread_join, "__defaults__", ("inner", 50))
+    star = [("s", "hub", f"l{i:03}") for i in range(300)] + [("s", f"l{i:03}", f"x{i % 7}") for i in range(20)]
+    assert {r.component for r in G.components(edges(spark, star), Scratch(spark, "t"), ["g"]).collect()} == {"hub"}
+    assert math.isclose(sum(r.rank for r in G.pagerank(edges(spark, star), Scratch(spark, "t"), ["g"]).collect()), 1)

@@ -10,8 +10,6 @@ from corvigraph import registry
 
 BASE = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.load()
-SLOW = {"pagerank", "pagerank_weighted", "component_summary", "resolution_stats", "katz_centrality", "betweenness", "dijkstra_paths"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(BASE), reason="no tables")
 
 
@@ -31,7 +29,7 @@ def plain(v):
     return [plain(x) for x in v] if isinstance(v, (list, tuple)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, duck, name):
     df = QUERIES[name](spark, BASE)
     result = duck.sql(SQL[name])
