@@ -75,11 +75,18 @@ def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, text).mapInPandas(run, f"{fields}, token_no int, token string, start int, end int")
 
 
-def align_spans(spans: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """``spans`` (keys, start, end) with first and last token: start inside the first, end inside the last; others are dropped."""
-    w = words.select(*keys, F.col("token_no"), F.col("start").alias("ws"), F.col("end").alias("we"))
-    first = spans.join(w, keys).where("ws <= start AND start < we").select(*spans.columns, F.col("token_no").alias("first_token"))
-    return first.join(w, keys).where("ws < end AND end <= we").select(*first.columns, F.col("token_no").alias("last_token"))
+def align_spans(spans: DataFrame, words: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
+    """``spans`` (keys, start, end) with first and last token: start inside the first, end inside the last; others are dropped.
+
+    Offsets fall into buckets of ``width`` characters; a token lies in each bucket it touches, so a span meets
+    the tokens about its ends only, however long the text is.
+    """
+    w = words.select(*keys, "token_no", F.col("start").alias("ws"), F.col("end").alias("we"))
+    w = w.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("ws") / width).cast("int"), F.floor((F.col("we") - 1) / width).cast("int"))))
+    at = lambda c: F.floor(c / width).cast("int")
+    first = spans.withColumn("bucket", at(F.col("start"))).join(w, [*keys, "bucket"]).where("ws <= start AND start < we").select(*spans.columns, F.col("token_no").alias("first_token"))
+    last = first.withColumn("bucket", at(F.col("end") - 1)).join(w, [*keys, "bucket"])
+    return last.where("ws < end AND end <= we").select(*first.columns, F.col("token_no").alias("last_token"))
 
 
 def merge_chunk_entities(entities: DataFrame, keys: list[str]) -> DataFrame:

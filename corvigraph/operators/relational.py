@@ -81,3 +81,9 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def sample_by_hash(df: DataFrame, key: str, parts: int, keep: int = 1, seed: int = 42) -> DataFrame:
     """The same ``keep`` of ``parts`` shares of the keys on every run and cluster; all rows of a key go together."""
     return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts)) < keep)
+
+
+def sample_by_digest(df: DataFrame, key: str, parts: int, keep: int = 1, seed: int = 42) -> DataFrame:
+    """:func:`sample_by_hash` by the MD5 of seed and key, which other engines can draw alike."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.where(draw % parts < keep)

@@ -31,10 +31,10 @@ def display_columns(spark, base):
     return n.crossJoin(F.broadcast(most)).select("label", F.lit(30).alias("size"), colour.alias("colour"), F.round(100.0 * F.col("n") / F.col("most"), 4).alias("scaled"))
 
 
-@query("SELECT coalesce(r.case_id, e.case_id) AS case_id, r.n AS reports, e.n AS extractions FROM (SELECT case_id, count(*) AS n FROM reports_lean WHERE reader = 'RDR-001' GROUP BY 1) r FULL JOIN (SELECT case_id, count(*) AS n FROM rag_entities WHERE num_entities > 8 GROUP BY 1) e ON r.case_id = e.case_id")
+@query("SELECT coalesce(r.case_id, e.case_id) AS case_id, r.n AS reports, e.n AS extractions FROM (SELECT case_id, count(*) AS n FROM reports_lean GROUP BY 1) r FULL JOIN (SELECT case_id, count(*) AS n FROM rag_entities GROUP BY 1) e ON r.case_id = e.case_id")
 def full_outer_join(spark, base):
-    r = table(spark, base, "reports_lean").where("reader = 'RDR-001'").groupBy("case_id").agg(F.count(F.lit(1)).alias("reports"))
-    e = table(spark, base, "rag_entities").where("num_entities > 8").groupBy("case_id").agg(F.count(F.lit(1)).alias("extractions"))
+    r = table(spark, base, "reports_lean").groupBy("case_id").agg(F.count(F.lit(1)).alias("reports"))
+    e = table(spark, base, "rag_entities").groupBy("case_id").agg(F.count(F.lit(1)).alias("extractions"))
     return r.join(e, "case_id", "full")
 
 

@@ -265,8 +265,9 @@ def eigenvector_rounds(spark, base):
 
 @query()
 def eigenvector_centrality(spark, base):
-    """To its fixed point within 0.0001, on undirected edges (directed ones without cycles have none); its size decides how many rounds."""
-    return G.power_iteration(G.undirected(patient_edges(spark, base), KEYS), Scratch(spark, "eigen"), None, None, KEYS, 1e-4).withColumn("value", F.round("value", 3))
+    """Of the merged graph, undirected (graphs without cycles have none by directed edges), until no value moves by more than 0.0001."""
+    m = G.undirected(G.mega_graph(patient_edges(spark, base), "relationship"), [])
+    return G.power_iteration(m, Scratch(spark, "eigen"), None, None, (), 1e-4).withColumn("value", F.round("value", 3))
 
 
 @query(f"WITH RECURSIVE {REL}, {_ROUND}, r AS (SELECT g, src AS s, dst AS t FROM ee UNION SELECT r.g, r.s, ee.dst FROM r JOIN ee ON r.g = ee.g AND r.t = ee.src), c AS (SELECT DISTINCT g, s AS id FROM r WHERE s = t) SELECT DISTINCT v.g, v.id FROM (SELECT g, src AS id FROM ee UNION SELECT g, dst FROM ee) v WHERE (EXISTS (SELECT 1 FROM c WHERE c.g = v.g AND c.id = v.id)) OR (EXISTS (SELECT 1 FROM r JOIN c ON c.g = r.g AND c.id = r.s WHERE r.g = v.g AND r.t = v.id) AND EXISTS (SELECT 1 FROM r JOIN c ON c.g = r.g AND c.id = r.t WHERE r.g = v.g AND r.s = v.id))")
@@ -320,19 +321,11 @@ def transition_graph(spark, base):
     return t.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-@query(f"WITH RECURSIVE {REL}, m AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) AS w FROM e GROUP BY ALL), s AS (SELECT min(src) AS id FROM m), p AS (SELECT id AS source, id AS target, 0.0::DOUBLE AS d, 0 AS k FROM s UNION SELECT p.source, m.dst, round(min(p.d + m.w), 9), p.k + 1 FROM p JOIN m ON p.target = m.src WHERE p.k < 8 GROUP BY p.source, m.dst, p.k) SELECT source, target, round(min(d), 6) AS distance FROM p GROUP BY ALL")
+@query(f"""WITH RECURSIVE {REL}, m AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) AS w FROM e GROUP BY ALL), s AS (SELECT src AS id FROM m UNION SELECT dst FROM m), n AS (SELECT count(*) AS n FROM s),
+p AS (SELECT id AS source, id AS target, 0.0::DOUBLE AS d, 0 AS k FROM s UNION SELECT p.source, m.dst, round(min(p.d + m.w), 9), p.k + 1 FROM p JOIN m ON p.target = m.src JOIN n ON p.k + 1 < n.n GROUP BY p.source, m.dst, p.k)
+SELECT source, target, round(min(d), 6) AS distance FROM p GROUP BY ALL""")
 def dijkstra_paths(spark, base):
-    """Least-weight distances from the smallest vertex, the one source its SQL names; frequent edges are short.
-
-    ``dijkstra_all_paths`` starts from every vertex.
-    """
-    m = _lengths(spark, base)
-    return G.weighted_paths(m, Scratch(spark, "dijkstra"), "w", m.agg(F.min("src").alias("id"))).withColumn("distance", F.round("distance", 6))
-
-
-@query()
-def dijkstra_all_paths(spark, base):
-    """Least-weight distances of the merged graph from every vertex, however many edges they take."""
+    """Least-weight distances of the merged graph from every vertex, however many edges they take; frequent edges are short."""
     m = _lengths(spark, base)
     return G.weighted_paths(m, Scratch(spark, "dijkstra"), "w", G.vertices_of(m, [])).withColumn("distance", F.round("distance", 6))
 

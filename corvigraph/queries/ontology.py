@@ -63,13 +63,21 @@ def bm25(spark, base):
     return _bm25(spark, base).withColumn("score", F.round("score", 6))
 
 
-@query(_BM25 + ", h AS (SELECT b.query_id, b.doc_id, score, n_chars::DOUBLE AS dense FROM b JOIN documents USING (doc_id)), m AS (SELECT *, 0.7 * (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w + 1e-8) + 0.3 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8) AS hybrid FROM h WINDOW w AS (PARTITION BY query_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(hybrid, 9) DESC, doc_id) AS rn FROM m) SELECT query_id, doc_id, round(hybrid, 6) AS hybrid FROM r WHERE rn <= 3 AND hybrid > 0.1")
+@query(_BM25 + """, du AS (SELECT doc_id, list_distinct(words) AS w FROM d), qu AS (SELECT query_id, list_distinct(words) AS w FROM q),
+h AS (SELECT b.query_id, b.doc_id, score, len(list_intersect(du.w, qu.w)) / sqrt(len(du.w)::DOUBLE * len(qu.w)) AS dense FROM b JOIN du ON du.doc_id = b.doc_id JOIN qu ON qu.query_id = b.query_id),
+m AS (SELECT *, 0.7 * (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w + 1e-8) + 0.3 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8) AS hybrid FROM h WINDOW w AS (PARTITION BY query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(hybrid, 9) DESC, doc_id) AS rn FROM m) SELECT query_id, doc_id, round(hybrid, 6) AS hybrid FROM r WHERE rn <= 3 AND hybrid > 0.1""")
 def bm25_hybrid(spark, base):
-    """Top three by 0.7 of a dense and 0.3 of the term score, both scaled; the text's length stands in for an external dense score."""
+    """Top three by 0.7 of a vector and 0.3 of the term score, both scaled; the vectors are binary word vectors and their likeness the cosine, in place of an external encoder."""
     from ..operators.relational import top_per_group
 
-    dense = table(spark, base, "documents").select("doc_id", F.col("n_chars").cast("double").alias("dense"))
-    h = O.hybrid(_bm25(spark, base).join(dense, "doc_id"), ["query_id"], "dense", "score")
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: w != ""))
+    docs = table(spark, base, "documents").where("text IS NOT NULL").select("doc_id", words("text").alias("w"))
+    asked = table(spark, base, "subject_areas").select(F.col("subject").alias("query_id"), words("description").alias("q"))
+    sizes = docs.select("doc_id", F.size("w").alias("nd"), F.explode("w").alias("word"))
+    query_words = asked.select("query_id", F.size("q").alias("nq"), F.explode("q").alias("word"))
+    dense = sizes.join(query_words, "word").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.sqrt(F.first("nd").cast("double") * F.first("nq"))).alias("dense"))
+    h = O.hybrid(_bm25(spark, base).join(dense, ["query_id", "doc_id"]), ["query_id"], "dense", "score")
     return top_per_group(h, ["query_id"], [F.desc(F.round("hybrid", 9)), F.col("doc_id")], 3).where("hybrid > 0.1").select("query_id", "doc_id", F.round("hybrid", 6).alias("hybrid"))
 
 
