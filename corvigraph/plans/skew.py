@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one key that may meet in one task; a key with more is spread over several.
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
 #: Most keys that are spread: each of them holds at least this part of all rows, so the list has a fixed bound.
 MOST_HOT = 1_000
 
@@ -25,17 +25,18 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], least: int = HOT_ROWS) -> Dat
     return hot.select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_salts"))
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", least: int = HOT_ROWS, at_most: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has at most one row per key; ``how`` is inner or left.
 
     Rows of hot keys are dealt over salts by a hash of their other columns and the table's row is repeated
     for each salt. ``rows`` is read twice: give a written table. Where all rows are at most ``least`` no key
-    can be hot, and it is a plain join.
+    can be hot, and it is a plain join; ``at_most`` is a bound of the rows that the caller knows, so that they
+    need not be counted.
     """
     keys = list(keys)
     if how not in ("inner", "left"):
         raise ValueError("inner or left")
-    if rows.count() <= least:
+    if (at_most is not None and at_most <= least) or rows.count() <= least:
         return rows.join(table, keys, how)
     hot = F.broadcast(hot_keys(rows, keys, least))
     others = [c for c in rows.columns if c not in keys] or keys
