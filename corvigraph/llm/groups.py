@@ -18,12 +18,12 @@ from ..plans.scratch import Scratch
 from ..plans.skew import HOT_ROWS, spread_join
 
 
-def _roots(hooks: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+def _roots(hooks: DataFrame, scratch: Scratch, least: int, nodes: int) -> DataFrame:
     """(node, root) from written (node, parent) trees whose roots are their own parents, by pointer doubling."""
     at = hooks
     while True:
         up = at.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        to = scratch.cut(spread_join(at, up, ["parent"], least=least).select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")), "doubled")
+        to = scratch.cut(spread_join(at, up, ["parent"], least=least, at_most=nodes).select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")), "doubled")
         moved = to.where("moved").limit(1).count()
         scratch.drop(at)
         at = to.drop("moved")
@@ -41,23 +41,25 @@ def component_roots(edges: DataFrame, scratch: Scratch, least: int = HOT_ROWS) -
     both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     nodes = both.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     members = scratch.cut(nodes.select("node", F.col("node").alias("root")), "members")
+    count = members.count()
     live = scratch.cut(both.where("a != b").distinct().select("a", "b", F.struct("a", "b").alias("edge")), "edges")
-    while live.limit(1).count():
+    while edges_left := live.count():
         ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x"), "edge")
         picks = ends.groupBy("x.node").agg(F.min(F.struct(F.col("edge"), F.col("x.other").alias("other"))).alias("m"))
         picks = scratch.cut(picks.select("node", F.col("m.other").alias("parent"), F.col("m.edge").alias("edge")), "picks")
         mate = picks.select(F.col("node").alias("parent"), F.col("edge").alias("mate_edge"))
         mutual = (F.col("edge") == F.col("mate_edge")) & (F.col("node") < F.col("parent"))
-        hooks = spread_join(picks, mate, ["parent"], least=least).select("node", F.when(mutual, F.col("node")).otherwise(F.col("parent")).alias("parent"))
-        roots = _roots(scratch.cut(hooks, "hooks"), scratch, least)
+        hooks = spread_join(picks, mate, ["parent"], least=least, at_most=count).select("node", F.when(mutual, F.col("node")).otherwise(F.col("parent")).alias("parent"))
+        roots = _roots(scratch.cut(hooks, "hooks"), scratch, least, count)
         to_a, to_b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        half = scratch.cut(spread_join(live, to_a, ["a"], least=least), "half")
-        moved = spread_join(half, to_b, ["b"], least=least).where("ra != rb")
+        half = spread_join(live, to_a, ["a"], least=least, at_most=edges_left)
+        half = scratch.cut(half, "half") if edges_left > least else half
+        moved = spread_join(half, to_b, ["b"], least=least, at_most=edges_left).where("ra != rb")
         after = moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("edge").alias("edge"))
         after = scratch.cut(after, "edges")
-        joined = spread_join(members, roots.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"], "left", least)
+        joined = spread_join(members, roots.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"], "left", least, count)
         later = scratch.cut(joined.select("node", F.coalesce("top", "root").alias("root")), "members")
-        scratch.drop(live, half, members, picks, roots)
+        scratch.drop(live, members, picks, roots)
         live, members = after, later
     return members
 
