@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from ..plans.skew import spread_join
+from ..plans.skew import HOT_ROWS, spread_join
 
 #: Rows of a bucket from which the number of buckets is doubled.
 PER_BUCKET = 1_000_000
@@ -167,8 +167,10 @@ class PairTable:
             stale = before.select("a", "b").limit(0)
             if old_state["pairs"]["files"] and touched:
                 won = d_items.select(F.col("item").alias("a"), F.lit(True).alias("hit_a"))
-                half = self.scratch.cut(spread_join(before.select("a", "b"), won, ["a"], "left"), "half")
-                both = spread_join(half, won.withColumnsRenamed({"a": "b", "hit_a": "hit_b"}), ["b"], "left")
+                many = self.state["pairs"]["rows"]
+                half = spread_join(before.select("a", "b"), won, ["a"], "left", at_most=many)
+                half = self.scratch.cut(half, "half") if many > HOT_ROWS else half
+                both = spread_join(half, won.withColumnsRenamed({"a": "b", "hit_a": "hit_b"}), ["b"], "left", at_most=many)
                 stale = self.scratch.cut(both.where("hit_a OR hit_b").select("a", "b"), "stale")
             none = F.lit(None).cast("long")
             fresh = d_pairs.unionByName(stale.select("a", "b", F.lit(0).cast("long").alias("n")))
@@ -177,8 +179,11 @@ class PairTable:
             held = self.pairs.read(touched if old_state["pairs"]["buckets"] == self.pairs.state["buckets"] else None).withColumn("fresh", F.lit(False))
             merged = held.unionByName(fresh).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.bool_or("fresh").alias("fresh"))
             merged = self.scratch.cut(merged.where("n != 0"), "merged")
-            anew = self.scratch.cut(spread_join(merged.where("fresh").select("a", "b", "n"), items.select(F.col("item").alias("a"), F.col("n").alias("n_a")), ["a"]), "half")
-            anew = self.scratch.cut(spread_join(anew, items.select(F.col("item").alias("b"), F.col("n").alias("n_b")), ["b"]).select("a", "b", "n", "n_a", "n_b"), "affected")
+            many = merged.count()
+            anew = spread_join(merged.where("fresh").select("a", "b", "n"), items.select(F.col("item").alias("a"), F.col("n").alias("n_a")), ["a"], at_most=many)
+            anew = self.scratch.cut(anew, "half") if many > HOT_ROWS else anew
+            anew = spread_join(anew, items.select(F.col("item").alias("b"), F.col("n").alias("n_b")), ["b"], at_most=many)
+            anew = self.scratch.cut(anew.select("a", "b", "n", "n_a", "n_b"), "affected")
             if touched:
                 self.pairs.write(merged.where("NOT fresh").drop("fresh").unionByName(anew), touched)
             self.state["batches"] += 1
