@@ -28,9 +28,14 @@ def patient_json_flatten(spark, base):
     return d.select("pims_animal_rowkey", F.col("d.demographics.animal.animal_name").alias("name"), F.col("d.demographics.animal.species").alias("species"), F.col("d.demographics.practice.practice_rowkey").alias("practice"))
 
 
-@query(r"""WITH b AS (SELECT trim(regexp_replace(regexp_replace(json_sopr, '^\s*```[A-Za-z]*\s*', ''), '\s*```\s*$', '')) AS b FROM patient_json), c AS (SELECT CASE WHEN regexp_extract(b, '(?s)(\{.*\})', 1) = '' THEN b ELSE regexp_extract(b, '(?s)(\{.*\})', 1) END AS c FROM b),
-d AS (SELECT regexp_replace(CASE WHEN contains(c, '"') THEN c ELSE translate(c, chr(39), '"') END, ',(\s*[}\]])', '\1', 'g') AS d FROM c), e AS (SELECT CASE WHEN json_valid(d) THEN json_extract_string(d, '$.demographics.animal.animal_rowkey') END IS NOT NULL AS ok FROM d)
-SELECT 'parsed' AS route, count(*) FILTER (ok) AS documents FROM e UNION ALL SELECT 'quarantine', count(*) FILTER (NOT ok) FROM e""")
+_REPAIRED = r"""WITH b AS (SELECT pims_animal_rowkey, trim(regexp_replace(regexp_replace(json_sopr, '^\s*```[A-Za-z]*\s*', ''), '\s*```\s*$', '')) AS b FROM patient_json),
+c AS (SELECT pims_animal_rowkey, CASE WHEN regexp_extract(b, '(?s)(\{.*\})', 1) = '' THEN b ELSE regexp_extract(b, '(?s)(\{.*\})', 1) END AS c FROM b),
+d AS (SELECT pims_animal_rowkey, regexp_replace(CASE WHEN contains(c, '"') THEN c ELSE translate(c, chr(39), '"') END, ',(\s*[}\]])', '\1', 'g') AS d FROM c),
+e AS (SELECT pims_animal_rowkey, CASE WHEN json_valid(d) THEN d::JSON END AS j FROM d)"""
+
+
+@query(f"""{_REPAIRED}, f AS (SELECT json_extract_string(j, '$.demographics.animal.animal_rowkey') IS NOT NULL AS ok FROM e)
+SELECT 'parsed' AS route, count(*) FILTER (ok) AS documents FROM f UNION ALL SELECT 'quarantine', count(*) FILTER (NOT ok) FROM f""")
 def patient_json_repaired(spark, base):
     """How many documents parse after repair, and how many stay in quarantine."""
     good, bad = split_valid(patients(spark, base), F.col("d.demographics.animal.animal_rowkey").isNotNull())
@@ -38,7 +43,8 @@ def patient_json_repaired(spark, base):
     return count(good, "parsed").unionByName(count(bad, "quarantine"))
 
 
-@query()
+@query(f"""{_REPAIRED}, v AS (SELECT pims_animal_rowkey, j, list_sort(list_transform((j->'$.visit_summaries')::JSON[], lambda x: struct_pack(a := coalesce(x->>'$.visit_start_date', 'N/A'), b := coalesce(x->>'$.visit_type', 'N/A'), c := coalesce(x->>'$.visit_summary', '')))) AS v FROM e WHERE json_type(j->'$.visit_summaries') = 'ARRAY')
+SELECT pims_animal_rowkey, 'Species: ' || coalesce(j->>'$.demographics.animal.species', 'N/A') || chr(10) || coalesce(j->>'$.patient_summary.patient_summary_text', 'N/A') || chr(10) || chr(10) || array_to_string(list_transform(v, lambda x: x.a || ' | ' || x.b || ' | ' || x.c), chr(10) || chr(10)) AS document FROM v""")
 def visit_documents(spark, base):
     """A text per patient: summary and visits in order of their dates, 'N/A' for what is missing."""
     p = patients(spark, base).where("d.visit_summaries IS NOT NULL")
