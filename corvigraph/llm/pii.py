@@ -60,6 +60,9 @@ _PART = rf"(?:{_CAP}|[A-ZÀ-ÖØ-Þ]\.|(?:{'|'.join(JOINERS)})\b)"
 _CUE = re.compile(rf"(?<!\w)((?i:{'|'.join(sorted(map(re.escape, CUES), key=len, reverse=True))}))(?:\.|:|,)?\s+(?=[A-ZÀ-ÖØ-Þ])((?i:{'|'.join(TITLES)})\.?\s+)?((?:{_PART}(?:,?[ \xa0]{{1,2}}|-))*{_CAP})")
 _WORD = re.compile(rf"{_W}+")
 
+#: The first words of the cues: a text without any of them has no cue.
+_CUE_STARTS = frozenset(re.findall(rf"{_W}+", c)[0] for c in CUES)
+
 _AT, _DOT = r"(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?)", r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _LOCAL = r"[\w+%-](?:[\w.+%-]*[\w+%-])?"
@@ -109,12 +112,17 @@ _TOKEN = re.compile(rf"{_W}+(?:['’](?={_W}{{2}}){_W}+)?")
 _GAP, _COMMA = re.compile(r"[\s]{1,2}\Z"), re.compile(r",[\s]{1,2}\Z")
 
 
+def _may_hold_email(text: str) -> bool:
+    low = text.lower()
+    return "@" in low or "(at)" in low or "[at]" in low or "dot" in low
+
+
 def terms_of(text: str) -> tuple[set[str], dict[str, float]]:
     """Lower-case words of a text outside emails; of those in places where a person is named, how much that counts (1 or WEAK)."""
-    bare = EMAIL.sub(" ", text)
-    every = {w.lower() for w in _WORD.findall(bare)}
+    bare = EMAIL.sub(" ", text) if _may_hold_email(text) else text
+    every = set(_WORD.findall(bare.lower()))
     named: dict[str, float] = {}
-    for m in _CUE.finditer(bare):
+    for m in _CUE.finditer(bare) if not every.isdisjoint(_CUE_STARTS) else ():
         weight = WEAK if m.group(1).lower() in WEAK_CUES and not m.group(2) else 1.0
         for w in _WORD.findall(m.group(3)):
             if len(w) > 1:
@@ -217,7 +225,7 @@ def find_items(text: str | None, reveals: dict[str, bool]) -> list[tuple[int, in
         if all(end <= a or start >= b for a, b, _ in out):
             out.append((start, end, kind))
 
-    if "@" in text or "at" in text or "AT" in text:
+    if _may_hold_email(text):
         for m in EMAIL.finditer(text):
             add(*m.span(), "email")
     if any(c.isdigit() for c in text):
@@ -231,7 +239,7 @@ def find_items(text: str | None, reveals: dict[str, bool]) -> list[tuple[int, in
                 add(*m.span(), "phone")
     for m in SPOKEN.finditer(text):
         add(*m.span(), "phone")
-    if reveals:
+    if reveals and any(reveals.get(w) for w in _WORD.findall(text.lower())):
         for start, end in _names(text, reveals, [(a, b) for a, b, _ in out]):
             add(start, end, "name")
     return sorted(out)
