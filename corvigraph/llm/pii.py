@@ -82,7 +82,11 @@ PHONE = re.compile(
     rf")(?![\w–-]|[.,]\d)"
 )
 SPOKEN = re.compile(rf"\b(?:{'|'.join(NUMBER_WORDS)})(?:[\s-]+(?:{'|'.join(NUMBER_WORDS)})){{6,14}}\b", re.I)
-_NOT_PHONE = re.compile(r"(?:lot|batch|serial|invoice|accession|microchip|chip|study|device|series|dose|protocol|order|charge|seriennummer|rechnung|nr)\W*\Z", re.I)
+#: Any number of some length, and the word before one.
+_NUMBER = re.compile(r"(?<![\w.+/#–-])[+(]?\d[\d \xa0().\-–/]{4,}\d")
+_BEFORE_NUMBER = re.compile(rf"({_W}+)\W*\Z")
+#: Marks a term as a word before numbers, in one table with the words that reveal a person.
+LABEL = "#"
 
 ID_NUMBER = re.compile(
     r"(?<!\w)(?:SSN|SS#|SS\s?no\.?|social\s+security|soc\.?\s+sec\.?|tax\s+id|taxpayer\s+id|TIN|ITIN|Steuer-?ID|Steuernummer|NINO|NI|national\s+insurance|DNI|NIE|NIF|documento|identity\s+card|ID\s+card|ID|Personalausweis|Ausweis"
@@ -129,7 +133,56 @@ def terms_of(text: str) -> tuple[set[str], dict[str, float]]:
                 named[w.lower()] = max(weight, named.get(w.lower(), 0.0))
     for w in (*JOINERS, *TITLES):
         named.pop(w, None)
-    return every, named
+    labels = labels_of(text)
+    return every | set(labels), named | {w: 1.0 for w, phone in labels.items() if phone}
+
+
+def _spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what the form of emails, identity numbers and addresses shows, without overlaps."""
+    out: list[tuple[int, int, str]] = []
+
+    def add(start: int, end: int, kind: str) -> None:
+        if all(end <= a or start >= b for a, b, _ in out):
+            out.append((start, end, kind))
+
+    if _may_hold_email(text):
+        for m in EMAIL.finditer(text):
+            add(*m.span(), "email")
+    if any(c.isdigit() for c in text):
+        for m in ID_NUMBER.finditer(text):
+            if sum(c.isdigit() for c in m.group(1)) >= 5:
+                add(*m.span(1), "id_number")
+        for m in ADDRESS.finditer(text):
+            add(*m.span(), "address")
+    return out
+
+
+def _phones(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    for m in PHONE.finditer(text):
+        a, b = m.span()
+        if sum(c.isdigit() for c in m.group()) >= 7 and all(b <= x or a >= y for x, y, _ in taken):
+            yield a, b
+
+
+def _label_at(text: str, start: int) -> str:
+    m = _BEFORE_NUMBER.search(text[max(0, start - 25) : start])
+    return LABEL + (m.group(1).lower() if m else "")
+
+
+def labels_of(text: str) -> dict[str, bool]:
+    """The words before numbers that are no identity number and in no address, and if a number behind has the form of a phone number."""
+    found: dict[str, bool] = {}
+    if not _NUMBER.search(text):
+        return found
+    taken = _spans(text)
+    phones = list(_phones(text, taken))
+    for a, _ in phones:
+        found[_label_at(text, a)] = True
+    taken += [(a, b, "phone") for a, b in phones]
+    for m in _NUMBER.finditer(text):
+        if sum(c.isdigit() for c in m.group()) >= 5 and all(m.end() <= x or m.start() >= y for x, y, _ in taken):
+            found.setdefault(_label_at(text, m.start()), False)
+    return found
 
 
 def _count_terms(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,6 +207,8 @@ def _count_terms(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def disclosure_table(texts: DataFrame) -> DataFrame:
     """(term, texts, named, disclosure) over all ``texts``: how strongly each term reveals a person.
 
+    Terms that begin with LABEL are words before numbers: ``texts`` with one before any number, ``named``
+    before one of the form of a phone number; so "lot" and "invoice" are told from "call" by the corpus.
     Each distinct text counts once, so that copies move neither a term's share nor the bar. Counts are
     summed in each task before the shuffle. Terms never named have no row.
     """
@@ -219,24 +274,16 @@ def find_items(text: str | None, reveals: dict[str, bool]) -> list[tuple[int, in
     """(start, end, kind) of the personal items of a text, in order, without overlaps. Null and empty have none."""
     if not text:
         return []
-    out: list[tuple[int, int, str]] = []
+    out = _spans(text)
 
     def add(start: int, end: int, kind: str) -> None:
         if all(end <= a or start >= b for a, b, _ in out):
             out.append((start, end, kind))
 
-    if _may_hold_email(text):
-        for m in EMAIL.finditer(text):
-            add(*m.span(), "email")
     if any(c.isdigit() for c in text):
-        for m in ID_NUMBER.finditer(text):
-            if sum(c.isdigit() for c in m.group(1)) >= 5:
-                add(*m.span(1), "id_number")
-        for m in ADDRESS.finditer(text):
-            add(*m.span(), "address")
-        for m in PHONE.finditer(text):
-            if sum(c.isdigit() for c in m.group()) >= 7 and not _NOT_PHONE.search(text[max(0, m.start() - 20) : m.start()]):
-                add(*m.span(), "phone")
+        for a, b in list(_phones(text, out)):
+            if _label_at(text, a) not in reveals:
+                add(a, b, "phone")
     for m in SPOKEN.finditer(text):
         add(*m.span(), "phone")
     if reveals and any(reveals.get(w) for w in _WORD.findall(text.lower())):
@@ -246,8 +293,12 @@ def find_items(text: str | None, reveals: dict[str, bool]) -> list[tuple[int, in
 
 
 def revealing(texts: DataFrame, threshold: float = THRESHOLD, beside: float = BESIDE) -> DataFrame:
-    """(term, alone): terms of high disclosure in ``texts``, and if each reveals by itself or only beside one that does."""
-    return disclosure_table(texts).where(F.col("disclosure") >= min(threshold, beside)).select("term", (F.col("disclosure") >= threshold).alias("alone"))
+    """(term, alone): terms of high disclosure in ``texts``, and if each reveals by itself or only beside one that does.
+
+    Of the words before numbers it holds those of low disclosure: a number behind them is none of a person.
+    """
+    label, high = F.col("term").startswith(LABEL), F.col("disclosure") >= threshold
+    return disclosure_table(texts).where((label & ~high) | (~label & (F.col("disclosure") >= min(threshold, beside)))).select("term", (high & ~label).alias("alone"))
 
 
 def _joined(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -260,7 +311,8 @@ def _joined(texts: DataFrame, terms: DataFrame) -> DataFrame:
     keyed = texts.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     sieve = _sieve(terms)
     words = keyed.where("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"))
-    words = words.select("digest", F.explode(F.filter(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")), sieve)).alias("term"))
+    words = words.select("digest", F.expr(r"array_distinct(regexp_extract_all(lower(text), '\\p{L}+', 0))").alias("w"))
+    words = words.select("digest", F.explode(F.filter(F.concat("w", F.transform("w", lambda x: F.concat(F.lit(LABEL), x)), F.array(F.lit(LABEL))), sieve)).alias("term"))
     hits = words.join(terms, "term").groupBy("digest").agg(F.collect_list(F.struct("term", "alone")).alias("reveals"))
     return spread_join(keyed, hits, ["digest"], "left")
 

@@ -97,3 +97,14 @@ def test_wording_outside_items_is_kept(spark):
         for item in items[r.row_id]:
             rest = rest.replace(item, "\0")
         assert re.sub(r"\[[A-Z_]+\]", "\0", r.text) == rest and "murmur, dose 12.5 mg" in r.text and "Marchbanks" not in r.text
+
+
+def test_words_before_numbers_are_told_apart_by_the_corpus(spark):
+    rows = [("f", i, f"Owner asked to call 030 2312{i % 10} 9{i:02}. Batch {100000 + 37 * i} was used.") for i in range(40)]
+    rows += [("f", 900, "Batch 030 23125 920 was used."), ("f", 901, "Phone 030 23125 921 at noon."), ("f", 902, "030 23125 922")]
+    texts = spark.createDataFrame(rows, "field string, row_id long, text string")
+    for most in (100, 0):
+        got = {(r.row_id, r.item) for r in pii.found_items(texts, most=most).collect() if r.kind == "phone"}
+        assert {i for i, _ in got} == {*range(40), 901, 902}
+    d = {r.term: r.disclosure for r in pii.disclosure_table(texts).collect()}
+    assert d["#call"] > pii.THRESHOLD > d["#batch"]
