@@ -321,11 +321,22 @@ def transition_graph(spark, base):
     return t.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-@query(f"""WITH RECURSIVE {REL}, m AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) AS w FROM e GROUP BY ALL), s AS (SELECT src AS id FROM m UNION SELECT dst FROM m), n AS (SELECT count(*) AS n FROM s),
+def _dijkstra_sql(sources: str) -> str:
+    return f"""WITH RECURSIVE {REL}, m AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) AS w FROM e GROUP BY ALL), v AS (SELECT src AS id FROM m UNION SELECT dst FROM m), n AS (SELECT count(*) AS n FROM v), s AS ({sources}),
 p AS (SELECT id AS source, id AS target, 0.0::DOUBLE AS d, 0 AS k FROM s UNION SELECT p.source, m.dst, round(min(p.d + m.w), 9), p.k + 1 FROM p JOIN m ON p.target = m.src JOIN n ON p.k + 1 < n.n GROUP BY p.source, m.dst, p.k)
-SELECT source, target, round(min(d), 6) AS distance FROM p GROUP BY ALL""")
+SELECT source, target, round(min(d), 6) AS distance FROM p GROUP BY ALL"""
+
+
+@query(_dijkstra_sql("SELECT min(src) AS id FROM m"))
 def dijkstra_paths(spark, base):
-    """Least-weight distances of the merged graph from every vertex, however many edges they take; frequent edges are short."""
+    """Least-weight distances of the merged graph from one source, its smallest vertex, relaxed until nothing improves; frequent edges are short."""
+    m = _lengths(spark, base)
+    return G.weighted_paths(m, Scratch(spark, "dijkstra"), "w", m.agg(F.min("src").alias("id"))).withColumn("distance", F.round("distance", 6))
+
+
+@query(_dijkstra_sql("SELECT id FROM v"))
+def dijkstra_all_paths(spark, base):
+    """The same from every vertex, however many edges a path takes."""
     m = _lengths(spark, base)
     return G.weighted_paths(m, Scratch(spark, "dijkstra"), "w", G.vertices_of(m, [])).withColumn("distance", F.round("distance", 6))
 

@@ -186,7 +186,7 @@ def test_labels_that_swing_and_colours(spark):
 def test_hubs_are_spread(spark, monkeypatch):
     from corvigraph.plans import skew
 
-    monkeypatch.setattr(skew.spread_join, "__defaults__", ("inner", 50))
+    monkeypatch.setattr(skew.spread_join, "__defaults__", ("inner", 50, None))
     star = [("s", "hub", f"l{i:03}") for i in range(300)] + [("s", f"l{i:03}", f"x{i % 7}") for i in range(20)]
     assert {r.component for r in G.components(edges(spark, star), Scratch(spark, "t"), ["g"]).collect()} == {"hub"}
     assert math.isclose(sum(r.rank for r in G.pagerank(edges(spark, star), Scratch(spark, "t"), ["g"]).collect()), 1)
