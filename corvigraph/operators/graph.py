@@ -79,7 +79,7 @@ def pagerank(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), itera
     """
     keys = list(keys)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    plain = edges.select(*keys, "src", "dst", w.alias("w"))
+    edges = plain = scratch.cut(edges.select(*keys, "src", "dst", w.alias("w")), "edges")
     total = plain.groupBy(*keys, "src").agg(F.sum("w").alias("total"))
     step = scratch.cut(plain.join(total, [*keys, "src"]).select(*keys, "src", "dst", (F.col("w") / F.col("total")).alias("p")), "steps")
     v = vertices_of(edges, keys)
@@ -88,8 +88,10 @@ def pagerank(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), itera
     joined = v.join(sizes, keys) if keys else v.crossJoin(F.broadcast(sizes))
     v = scratch.cut(joined.join(out, [*keys, "id"], "left").select(*keys, "id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling")), "vertices")
 
+    steps = step.count()
+
     def brought(values: DataFrame, name: str) -> DataFrame:
-        return spread_join(step, values.select(*keys, F.col("id").alias("src"), name), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col(name)).alias("got"))
+        return spread_join(step, values.select(*keys, F.col("id").alias("src"), name), [*keys, "src"], at_most=steps).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col(name)).alias("got"))
 
     if iterations is None:
         x = scratch.cut(v.select(*keys, "id", F.lit(1.0).alias("x")), "x0")
@@ -125,15 +127,17 @@ def components(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = ()) ->
     about log2(length) rounds. Edges of a hub and labels of a giant component are spread over tasks.
     """
     keys = list(keys)
+    edges = scratch.cut(edges.select(*keys, "src", "dst"), "edges")  # read twice: whatever made them runs once
     both = scratch.cut(undirected(edges, keys), "both")
     labels = scratch.cut(vertices_of(edges, keys).withColumn("component", F.col("id")), "labels")
+    ends, vertices = both.count(), labels.count()
     while True:
-        near = spread_join(both, labels.select(*keys, F.col("id").alias("dst"), "component"), [*keys, "dst"])
+        near = spread_join(both, labels.select(*keys, F.col("id").alias("dst"), "component"), [*keys, "dst"], at_most=ends)
         near = near.groupBy(*keys, F.col("src").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, [*keys, "id"], "left").select(*keys, "id", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        step = scratch.cut(step, "step")
+        step = scratch.cut(step, "step")  # read twice
         jump = step.select(*keys, F.col("id").alias("component"), F.col("component").alias("further"))
-        new = spread_join(step, jump, [*keys, "component"], "left").select(*keys, "id", F.least("component", F.coalesce("further", "component")).alias("component"), "before")
+        new = spread_join(step, jump, [*keys, "component"], "left", at_most=vertices).select(*keys, "id", F.least("component", F.coalesce("further", "component")).alias("component"), "before")
         new = scratch.cut(new, "labels")
         changed = new.where("component != before").limit(1).count()
         scratch.drop(labels, step)
@@ -151,11 +155,12 @@ def label_propagation(edges: DataFrame, scratch: Scratch, keys: Sequence[str] =
     two, of which the smaller is the result. With ``iterations`` it is that many rounds.
     """
     keys = list(keys)
+    edges = scratch.cut(edges.select(*keys, "src", "dst"), "edges")
     both = scratch.cut(undirected(edges, keys), "both")
     labels = scratch.cut(vertices_of(edges, keys).select(*keys, "id", F.col("id").alias("community"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("before")), "labels")
-    done = 0
+    done, ends = 0, both.count()
     while iterations is None or done < iterations:
-        votes = spread_join(both, labels.select(*keys, F.col("id").alias("dst"), "community"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
+        votes = spread_join(both, labels.select(*keys, F.col("id").alias("dst"), "community"), [*keys, "dst"], at_most=ends).groupBy(*keys, F.col("src").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(*keys, "id").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("best"))
         new = labels.join(best, [*keys, "id"], "left").select(*keys, "id", F.coalesce("best", "community").alias("community"), F.col("community").alias("before"), F.col("before").alias("earlier"))
         new = scratch.cut(new, "labels")
@@ -225,8 +230,9 @@ def betweenness(edges: DataFrame, scratch: Scratch, keys: Sequence[str] = (), so
     down their dependencies; until no path is new, or for ``most`` levels. With ``sources`` only paths from those are summed, scaled to all.
     """
     keys = list(keys)
-    e = scratch.cut(edges.where("src != dst").select(*keys, "src", "dst").distinct(), "edges")
-    v = vertices_of(edges, keys)
+    edges = scratch.cut(edges.select(*keys, "src", "dst"), "given")
+    e = scratch.cut(edges.where("src != dst").distinct(), "edges")
+    v = scratch.cut(vertices_of(edges, keys), "vertices")
     start = v if sources is None else sources.select(*keys, "id").distinct()
     levels = [scratch.cut(start.select(*keys, F.col("id").alias("s"), F.col("id").alias("t"), F.lit(1.0).alias("sigma")), "level0")]
     seen = levels[0].select(*keys, "s", "t")
@@ -289,8 +295,9 @@ def power_iteration(edges: DataFrame, scratch: Scratch, iterations: int | None =
     keys = list(keys)
     e = scratch.cut(edges.where("src != dst").select(*keys, "src", "dst").distinct(), "edges")
     x = scratch.cut(vertices_of(edges, keys).select(*keys, "id", F.lit(1.0).alias("raw"), F.lit(0.0).alias("value")), "x")
-    for i in range(most if iterations is None else iterations):
-        got = spread_join(e, x.select(*keys, F.col("id").alias("src"), "raw"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum("raw").alias("got"))
+    ends = e.count()
+    for _ in range(most if iterations is None else iterations):
+        got = spread_join(e, x.select(*keys, F.col("id").alias("src"), "raw"), [*keys, "src"], at_most=ends).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum("raw").alias("got"))
         gain = F.coalesce("got", F.lit(0.0))
         new = x.join(got, [*keys, "id"], "left").select(*keys, "id", (1 + decay * gain if decay is not None else F.col("raw") + gain).alias("raw"), F.col("value").alias("before"))
         size = new.groupBy(*keys).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
