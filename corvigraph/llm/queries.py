@@ -59,7 +59,7 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_ngrams(spark: SparkSession, base: str) -> DataFrame:
-    """Occurrences and cases of every word n-gram (up to ``DEPTH`` words) inside the entity texts."""
+    """Occurrences and cases of every word n-gram, of any length, inside the entity texts."""
     counts = term_counts.ngram_counts(_case_items(table(spark, base, "rag_entities")).where("field = 'entities'"), Scratch(spark, "p2n"))
     inner = ~F.col("ngram").contains(term_counts.BEGIN) & ~F.col("ngram").contains(term_counts.END)
     return counts.where(inner).select(F.translate("ngram", term_counts.SEP, " ").alias("ngram"), F.col("n").cast("int").alias("n"), "occurrences", F.col("records").alias("cases"))

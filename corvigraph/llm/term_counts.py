@@ -7,9 +7,11 @@ occurrences; its size less the adjacent repeats of one record (after ordering th
 the number of records. Intervals that touch the edge of a partition go on in the next one, so their
 records are kept and stitched afterwards. Nothing is collected or sampled.
 
-A suffix is kept to its first DEPTH words, so that a long value costs as much as its length, not its
-square; the suffix that is the whole value keeps the rest behind them as one last part. So n-grams of up
-to DEPTH words, and whole values of any length, are counted exactly; longer inner n-grams have no row.
+n-grams of every length have a row, so suffixes are kept whole: half the square of a value's words, which
+the rows of its n-grams exceed (copies of one value apart). Tasks are sized by the characters of their
+suffixes, and a task takes them in runs of RUN characters, whose edges are stitched like those of ranges.
+Where only whole values are asked for, a suffix is kept to its first DEPTH words, and the one that is the
+whole value keeps the rest behind them as one last part: a long value costs as much as its length.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from ..plans.scratch import Scratch
 
 BEGIN, END, SEP = "\x02", "\x03", "\x00"
 DEPTH = 32
+RUN = 16_000_000
 
 _OUT = "field string, ngram string, n int, occurrences long, records long, record string"
 
 
 class _Range:
-    """One sorted range of the suffix array: words as numbers end to end, and the words each suffix shares with the one before."""
+    """One run of a sorted range of the suffix array: words as numbers end to end, and the words each suffix shares with the one before."""
 
     def __init__(self, part: pd.DataFrame):
         self.suffixes = part["suffix"].tolist()
@@ -76,19 +79,33 @@ class _Range:
         if closed.any():
             yield pd.DataFrame({"field": self.fields[heads[closed]], "ngram": ngram[closed], "n": n[closed].astype(np.int32), "occurrences": size[closed], "records": records[closed], "record": None})
         if edge.any():
-            sel = np.flatnonzero(edge[group])
-            yield pd.DataFrame({"field": self.fields[at[sel]], "ngram": ngram[group[sel]], "n": n[group[sel]].astype(np.int32), "occurrences": np.int64(1), "records": np.int64(0), "record": self.names[at[sel]]})
-
-
-def _intervals(values_only: bool, depth: int):
+            sel = np.flatnonzero(edge[g])  # a record's occurrences in one row
+            h = sel[np.r_[True, (g[sel[1:]] != g[sel[:-1]]) | (r[sel[1:]] != r[sel[:-1]])]]
+            times = np.diff(np.r_[np.searchsorted(sel, h), len(sel)])
+            yield pd.DataFrame({"field": self.fields[at[order[h]]], "ngram": ngram[g[h]], "n": n[g[h]].astype(np.int32), "occurrences": times, "records": np.int64(0), "record": self.names[at[order[h]]]})
+
+
+def _runs(blocks: Iterator[pd.DataFrame], chars: int) -> Iterator[pd.DataFrame]:
+    """The sorted suffixes of one task, end to end, in runs of about ``chars`` characters."""
+    held, last, done = [], 0, 0
+    for b in blocks:
+        if len(b):
+            ends = done + np.cumsum(np.fromiter(map(len, b["suffix"]), np.int64, len(b)))
+            done = int(ends[-1])
+            for number, piece in b.groupby(ends // chars):
+                if held and number != last:
+                    yield pd.concat(held, ignore_index=True)
+                    held.clear()
+                held.append(piece)
+                last = number
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _intervals(values_only: bool, depth: int | None, chars: int):
     """Common-prefix intervals of one sorted range of the suffix array; with ``values_only`` only those of whole values go out."""
 
-    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in blocks if len(b)]
-        if not held:
-            return
-        part = _Range(pd.concat(held, ignore_index=True))
-        held.clear()
+    def one(part: _Range) -> Iterator[pd.DataFrame]:
         at = np.flatnonzero(part.whole)
         if len(at):  # a whole value ends in a mark that nothing follows: its interval are its equals
             new = part.common[at] < part.length[at]
@@ -96,37 +113,42 @@ def _intervals(values_only: bool, depth: int):
             yield from part.intervals(at, new, part.length[at[new]])
         if values_only:
             return
-        for n in range(1, min(depth, int(part.length.max())) + 1):
+        longest = int(part.length.max())
+        long = np.arange(len(part.suffixes))
+        for n in range(1, min(depth or longest, longest) + 1):
             # suffixes shorter than n sort before those of an interval, never between them; whole values have their rows
-            long = part.length >= n
-            new = part.common < n
-            new[0] = True
-            group = np.cumsum(new) - 1
-            head = np.flatnonzero(new)
-            keep = long & ~((part.whole & (part.length == n))[head][group])
-            at = np.flatnonzero(keep)
+            long = long[part.length[long] >= n]
+            at = long[~(part.whole[long] & (part.length[long] == n))]
             if len(at):
-                g = group[at]
-                starts = np.r_[True, g[1:] != g[:-1]]
-                yield from part.intervals(at, starts, np.full(int(starts.sum()), n))
+                new = part.common[at] < n
+                yield from part.intervals(at, new, np.full(int(new.sum()), n))
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _runs(blocks, chars):
+            yield from one(_Range(rows))
 
     return run
 
 
-def ngram_counts(items: DataFrame, scratch: Scratch, per_task: int = 250_000, values_only: bool = False, depth: int = DEPTH) -> DataFrame:
-    """(field, ngram, n, occurrences, records) of every word n-gram, up to ``depth``, and whole value of ``items`` (field, record, term).
+def ngram_counts(items: DataFrame, scratch: Scratch, per_task: int = 250_000, values_only: bool = False, depth: int | None = None) -> DataFrame:
+    """(field, ngram, n, occurrences, records) of every word n-gram and whole value of ``items`` (field, record, term).
 
     ``term`` is a normal form; words are its parts between blanks. n-grams with the marks BEGIN and END
-    at their ends are whole values, see :func:`value_counts`; ``values_only`` leaves out all other rows.
-    Null and empty terms count nowhere; a null record's terms occur but add no record. ``per_task``
-    suffixes are sorted in one task; the range key ends in the record, so that one term with a third of
+    at their ends are whole values, see :func:`value_counts`; ``values_only`` leaves out all other rows,
+    ``depth``, if a caller gives it, those of inner n-grams of more words. Null and empty terms count
+    nowhere; a null record's terms occur but add no record. ``per_task`` suffixes, or RUN characters of
+    whole ones, are sorted in one task; the range key ends in the record, so that one term with a third of
     all rows is spread over many tasks. Empty input gives no rows.
     """
     term = F.translate("term", BEGIN + END + SEP, "")
     words = F.concat(F.array(F.lit(BEGIN)), F.split(term, " "), F.array(F.lit(END)))
-    rest = F.array_join(F.slice("w", depth + 1, F.greatest(F.size("w") - depth - 1, F.lit(1))), " ")
-    whole = F.when(F.size("w") <= depth + 1, F.array_join("w", SEP)).otherwise(F.concat_ws(SEP, F.array_join(F.slice("w", 1, depth), SEP), rest, F.lit(END)))
-    suffix = F.when(F.col("i") == 1, whole).otherwise(F.array_join(F.slice("w", F.col("i"), depth), SEP))
+    kept = depth or (DEPTH if values_only else None)
+    if kept:
+        rest = F.array_join(F.slice("w", kept + 1, F.greatest(F.size("w") - kept - 1, F.lit(1))), " ")
+        whole = F.when(F.size("w") <= kept + 1, F.array_join("w", SEP)).otherwise(F.concat_ws(SEP, F.array_join(F.slice("w", 1, kept), SEP), rest, F.lit(END)))
+        suffix = F.when(F.col("i") == 1, whole).otherwise(F.array_join(F.slice("w", F.col("i"), kept), SEP))
+    else:
+        suffix = F.array_join(F.slice("w", F.col("i"), F.size("w")), SEP)
     suffixes = (
         items.where(F.length(term) > 0)
         .select("field", "record", words.alias("w"))
@@ -134,10 +156,11 @@ def ngram_counts(items: DataFrame, scratch: Scratch, per_task: int = 250_000, va
         .select("field", "record", suffix.alias("suffix"))
     )
     entries = scratch.cut(suffixes, "suffixes")
-    tasks = max(1, math.ceil(entries.count() / per_task))
+    rows, chars = (entries.count(), 0) if kept else entries.agg(F.count("suffix"), F.coalesce(F.sum(F.length("suffix")), F.lit(0))).first()
+    tasks = max(1, math.ceil(max(rows / per_task, chars / RUN)))
     key = ["field", "suffix", "record"]
     ranged = entries.repartitionByRange(tasks, *key).sortWithinPartitions(*key)
-    found = scratch.cut(ranged.mapInPandas(_intervals(values_only, depth), _OUT), "intervals")
+    found = scratch.cut(ranged.mapInPandas(_intervals(values_only, depth, RUN), _OUT), "intervals")
     closed = found.where(F.col("record").isNull() & (F.col("records") > 0)).select("field", "ngram", "n", "occurrences", "records")
     open_ = found.where(~(F.col("record").isNull() & (F.col("records") > 0)))
     stitched = (

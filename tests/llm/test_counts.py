@@ -148,3 +148,36 @@ def short_grams(items, n):
         for k in range(1, n + 1):
             out += [(f, c, "_".join(w[i : i + k])) for i in range(len(w) - k + 1)]
     return out
+
+
+def test_ngrams_of_any_length(spark, monkeypatch):
+    rng = random.Random(3)
+    shared = [f"w{rng.randrange(9)}" for _ in range(45)]
+    items = [("a", f"c{i % 4}", " ".join([f"x{i}"] * (i % 3) + shared[i % 2 :] + ["y"] * (i % 2))) for i in range(9)]
+    items += [("a", "c1", "w1 w2"), ("a", None, " ".join(shared)), ("b", "c1", " ".join(["z"] * 70)), ("b", None, " ".join(f"v{i}" for i in range(36)))]
+    df = spark.createDataFrame(items, "field string, record string, term string")
+    for run in (16_000_000, 3_000):
+        monkeypatch.setattr(term_counts, "RUN", run, raising=False)
+        for per_task in (60, 10**6):
+            rows = term_counts.ngram_counts(df, Scratch(spark, "t"), per_task).collect()
+            plain = {(r.field, r.ngram.replace(term_counts.SEP, " ")): (r.occurrences, r.records) for r in rows if not set(r.ngram) & {term_counts.BEGIN, term_counts.END}}
+            assert plain == brute(items)
+            assert len(rows) == len({(r.field, r.ngram) for r in rows})
+
+
+def test_runs_of_a_task():
+    import pandas as pd
+
+    blocks = [pd.DataFrame({"suffix": s}) for s in (["a" * 4, "b" * 4], [], ["c" * 30], ["d", "e"])]
+    assert [r["suffix"].str[0].tolist() for r in term_counts._runs(iter(blocks), 10)] == [["a", "b"], ["c", "d"], ["e"]]
+    assert [len(r) for r in term_counts._runs(iter(blocks), 10**6)] == [5]
+    assert list(term_counts._runs(iter(blocks[1:2]), 10)) == []
+
+
+def test_the_query_gives_long_ngrams(spark, tmp_path):
+    from corvigraph.llm.queries import p2_ngrams
+
+    long = " ".join(f"w{i}" for i in range(40))
+    rag(spark, [("c1", [long, long], 2, 1), ("c2", [long + " end"], 1, 1)]).write.parquet(f"{tmp_path}/rag_entities.parquet")
+    got = {r.ngram: (r.n, r.occurrences, r.cases) for r in p2_ngrams(spark, str(tmp_path)).collect()}
+    assert len(got) == 41 * 42 // 2 and got[long] == (40, 3, 2) and got[long + " end"] == (41, 1, 1)
