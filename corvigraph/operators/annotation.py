@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -89,6 +90,28 @@ def align_spans(spans: DataFrame, words: DataFrame, keys: list[str], width: int
     return last.where("ws < end AND end <= we").select(*first.columns, F.col("token_no").alias("last_token"))
 
 
+def align_entities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, text, start, end, first_token, last_token): :func:`align_spans` of each row's ``entities`` to the row's own :func:`tokens`, which never leave the row."""
+    fields = ", ".join(f"`{n}` {t}" for n, t in df.select(*keys).dtypes)
+    columns = [*keys, "text", "start", "end", "first_token", "last_token"]
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            rows = []
+            for *k, t, spans in block[[*keys, text, "entities"]].itertuples(index=False):
+                if not isinstance(t, str) or spans is None or not len(spans):
+                    continue
+                at = [m.span() for m in re.finditer(r"\S+", t)]
+                starts = [a for a, _ in at]
+                for s in spans:
+                    i, j = bisect_right(starts, s["start"]) - 1, bisect_left(starts, s["end"]) - 1
+                    if i >= 0 and s["start"] < at[i][1] and j >= 0 and s["end"] <= at[j][1]:
+                        rows.append((*k, s["text"], s["start"], s["end"], i, j))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return df.select(*keys, text, "entities").mapInPandas(run, f"{fields}, text string, start int, end int, first_token int, last_token int")
+
+
 def merge_chunk_entities(entities: DataFrame, keys: list[str]) -> DataFrame:
     """Entities of overlapping chunks as one list: per normal text the first attributes and the largest score."""
     rest = [c for c in entities.columns if c not in (*keys, "text", "score", "position")]

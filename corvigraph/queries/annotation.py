@@ -86,7 +86,7 @@ def entity_rollup(spark, base):
 def span_align(spark, base):
     """Character spans as token spans."""
     r = table(spark, base, "reports_lean").select("report_id", "findings").where("findings IS NOT NULL")
-    return A.align_spans(_annotated(spark, base).select("report_id", "text", "start", "end"), A.tokens(r, ["report_id"], "findings"), ["report_id"])
+    return A.align_entities(A.annotate(r, "findings", A.dictionary_annotator(_LEXICON)), ["report_id"], "findings")
 
 
 @query(f"WITH {ENTITIES}, e AS (SELECT *, row_number() OVER (PARTITION BY case_id, clean(text) ORDER BY score, text, section NULLS FIRST, category NULLS FIRST) AS rn, max(score) OVER (PARTITION BY case_id, clean(text)) AS best FROM entity_rows WHERE text IS NOT NULL) SELECT case_id, clean(text) AS norm, best AS score FROM e WHERE rn = 1")

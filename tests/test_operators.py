@@ -167,3 +167,21 @@ def test_compound_selection_is_whole(spark, tmp_path):
                 expected.add((case, n, round(-score, 9)))
     assert {(r.case_id, r.compound, round(r.confidence, 9)) for r in compound_selection(spark, str(tmp_path)).collect()} == expected
     assert {x[0] for x in expected} == {"a", "b", "d", "e"}
+
+
+def test_entities_align_within_their_row(spark):
+    rows = [(1, "Mild ileus.  No fracture,\nleft hip"), (2, "prefracture of the left  hip"), (3, ""), (4, None), (5, "ileus")]
+    df = spark.createDataFrame(rows, "id int, x string")
+    found = A.annotate(df, "x", A.dictionary_annotator({"ileus": "f", "fracture": "f", "left hip": "a"}))
+    found = found.unionByName(spark.createDataFrame([(6, "ab cd", [("b c", "f", 1, 4, 1.0), ("d", "f", 4, 5, 1.0), (" ", "f", 2, 3, 1.0)])], found.schema))
+    spans = found.select("id", F.explode("entities").alias("e")).select("id", "e.text", "e.start", "e.end")
+    expected = A.align_spans(spans, A.tokens(found.where("x IS NOT NULL"), ["id"], "x"), ["id"])
+    got = A.align_entities(found, ["id"], "x")
+    assert got.columns == expected.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert (6, "b c", 1, 4, 0, 1) in map(tuple, got.collect())
+
+
+def test_span_align_joins_no_tokens(spark):
+    from corvigraph.queries.annotation import span_align
+
+    assert "Join" not in span_align(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
