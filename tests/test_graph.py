@@ -190,3 +190,25 @@ def test_hubs_are_spread(spark, monkeypatch):
     star = [("s", "hub", f"l{i:03}") for i in range(300)] + [("s", f"l{i:03}", f"x{i % 7}") for i in range(20)]
     assert {r.component for r in G.components(edges(spark, star), Scratch(spark, "t"), ["g"]).collect()} == {"hub"}
     assert math.isclose(sum(r.rank for r in G.pagerank(edges(spark, star), Scratch(spark, "t"), ["g"]).collect()), 1)
+
+
+def test_power_iteration_in_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(f"v{rng.randrange(30)}", f"v{rng.randrange(30)}") for _ in range(60)] + [("loop", "loop")]
+    edges = G.undirected(spark.createDataFrame(pairs, "src string, dst string"), []).unionByName(spark.createDataFrame([("loop", "loop")], "src string, dst string"))
+    short = Scratch(spark, "short")
+    runs = [(3, None, 1e-9), (None, 0.01, 1e-4)]
+    got = [{r.id: r.value for r in G.power_iteration(edges, short, n, decay, (), bar).collect()} for n, decay, bar in runs]
+    assert short._count == 2 * len(runs)  # the edges and the result: no table per round
+    monkeypatch.setattr(G, "HELD", 0)
+    for one, (n, decay, bar) in zip(got, runs):
+        joined = {r.id: r.value for r in G.power_iteration(edges, Scratch(spark, "long"), n, decay, (), bar).collect()}
+        assert one.keys() == joined.keys() and all(math.isclose(one[k], joined[k], abs_tol=1e-9) for k in one)
+
+
+def test_power_iteration_without_fixed_point(spark):
+    import pytest
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], "src string, dst string")
+    with pytest.raises(ValueError):
+        G.power_iteration(edges, Scratch(spark, "none"), None, 2.0, (), 1e-9, 3)
