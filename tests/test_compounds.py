@@ -106,3 +106,29 @@ def test_index_recall(spark):
     n = spark.createDataFrame([(1, 2, 0.9), (2, 1, 0.9), (3, 1, 0.95), (1, 4, 0.7)], "a int, b int, cosine double")
     assert [(r.a, r.b) for r in E.candidate_pairs(n).collect()] == [(1, 2)]
     assert E.indexed_neighbours(v.limit(0), asked, "vec_id", "embedding").count() == 0
+
+
+def test_linked_entities_against_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    draw = lambda: " ".join(rng.choice(["the", "of", "hip", "ship", "ear", "ears", "a", "", "left"]) for _ in range(rng.randrange(1, 5))).strip()
+    entities, concepts = {draw() for _ in range(60)} - {""}, {draw() for _ in range(60)} - {""} | {"e\nar", "zebra"}
+
+    def brute(t):
+        x = {w for w in t.split(" ") if w}
+        best = None
+        for c in concepts:
+            y = {w for w in c.split(" ") if w}
+            link = 1.0 if t == c else 0.8 if t in c or c in t else 0.6 if any(len(w) > 2 and w in c for w in x) else 0.0
+            if link:
+                r = len(x & y) / (len(x) * len(y)) ** 0.5
+                best = max(best or (), (round(link * r, 9), -len(c), c, link))
+        return best and (best[2], best[3])
+
+    e = spark.createDataFrame([("c", t) for t in entities], "case_id string, t string")
+    expected = {t: b for t in entities if (b := brute(t))}
+    assert len(expected) > 20
+    for size in (50_000, 7):
+        monkeypatch.setattr(C, "INDEXED", size)
+        out = C.linked_entities(e, column(spark, "term", sorted(concepts)))
+        assert {r.t: (r.concept, r.link) for r in out.collect()} == expected
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row per pair that shares "the"
