@@ -132,3 +132,29 @@ def test_linked_entities_against_brute_force(spark, monkeypatch):
         out = C.linked_entities(e, column(spark, "term", sorted(concepts)))
         assert {r.t: (r.concept, r.link) for r in out.collect()} == expected
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row per pair that shares "the"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_against_brute_force(spark):
+    rng = random.Random(6)
+    words = ["of", "ear", "ears", "hip", "x", "skin"]
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(1, n)))
+    own = {f"c{i}": {draw(3) for _ in range(4)} for i in range(25)}
+    known = sorted({draw(5) for _ in range(40)} | {"ear  of of", "of hip of skin"})
+    texts = {c: " ".join(rng.choice(known) for _ in range(4)).upper() for c in own}
+    cases = spark.createDataFrame(list(texts.items()), "case_id string, text string")
+    entities = spark.createDataFrame([(c, t) for c, ts in own.items() for t in ts], "case_id string, t string")
+    pairs = [(a, b) for a in words for b in known if a in b]
+    split = lambda x: [w for w in x.split(" ") if w]
+    parts = lambda c, x: [t for t in sorted(own[c]) if any(w in t for w in split(x))]
+    direct = {(c, x, tuple(parts(c, x))) for c in own for a, x in pairs if a in own[c] and len(a) > 2 and len(x) > len(a) and x in texts[c].lower()}
+    got = C.direct_candidates(cases, entities, spark.createDataFrame(pairs, "parent string, child string"))
+    assert sorted((r.case_id, r.compound, tuple(r.parts)) for r in got.collect()) == sorted(direct)
+    pattern = {(c, x, tuple(parts(c, x))) for c in own for x in known if len(split(x)) > 1 and len(x) > 5 and any(w in own[c] and len(w) > 2 and w not in C.STOP_WORDS for w in split(x)) and sum(w in t for w in split(x) for t in own[c]) >= 2}
+    found = C.pattern_candidates(entities, column(spark, "term", known))
+    assert sorted((r.case_id, r.compound, tuple(r.parts)) for r in found.collect()) == sorted(pattern)
+    assert len(direct) > 5 and len(pattern) > 20
+    assert "gram" not in _plan(got) and "gram" not in _plan(found)  # no word meets the terms of other cases
