@@ -158,3 +158,11 @@ def test_candidates_against_brute_force(spark):
     assert sorted((r.case_id, r.compound, tuple(r.parts)) for r in found.collect()) == sorted(pattern)
     assert len(direct) > 5 and len(pattern) > 20
     assert "gram" not in _plan(got) and "gram" not in _plan(found)  # no word meets the terms of other cases
+
+
+def test_cascade_uses_the_words_of_the_own_case(spark):
+    cases, entities = spark.createDataFrame([("c1", "x"), ("c2", "x")], "case_id string, text string"), spark.createDataFrame([("c1", "hip of dog"), ("c2", "leg of cat"), ("c2", "skin")], "case_id string, t string")
+    found = spark.createDataFrame([("c1", "ear of", "m", 0.8, ["ear"]), ("c2", "skin fold", "m", 0.5, ["skin"])], "case_id string, compound string, method string, confidence double, parts array<string>")
+    out = C.merge_cascade(cases, entities, found, spark.createDataFrame([], "case_id string, t string, merged string"))
+    assert {tuple(r) for r in out.collect()} == {("c1", "ear of", "compound"), ("c2", "leg of cat", "kept"), ("c2", "skin", "kept")}
+    assert "gram" not in _plan(out)  # words meet the entities of their own case, not the vocabulary
