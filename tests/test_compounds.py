@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from corvigraph.operators import compounds as C
 from corvigraph.operators import ontology as O  # noqa: E741
 from corvigraph.operators import resolution as E
@@ -166,3 +168,17 @@ def test_cascade_uses_the_words_of_the_own_case(spark):
     out = C.merge_cascade(cases, entities, found, spark.createDataFrame([], "case_id string, t string, merged string"))
     assert {tuple(r) for r in out.collect()} == {("c1", "ear of", "compound"), ("c2", "leg of cat", "kept"), ("c2", "skin", "kept")}
     assert "gram" not in _plan(out)  # words meet the entities of their own case, not the vocabulary
+
+
+PREPARED = ["heuristic_graph_scores"]
+
+
+@pytest.mark.parametrize("name", PREPARED)
+def test_texts_and_entities_are_written_once(spark, monkeypatch, name):
+    from corvigraph.queries import clinical
+
+    labels, cut = [], Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, label="t": labels.append(label) or cut(self, df, label))
+    files = getattr(clinical, name)(spark, "/root/testdata/sf0.001").inputFiles()
+    assert labels.count("texts") == labels.count("entities") == 1
+    assert files and not any("reports_lean" in f or "rag_entities" in f for f in files)
