@@ -170,7 +170,7 @@ def test_cascade_uses_the_words_of_the_own_case(spark):
     assert "gram" not in _plan(out)  # words meet the entities of their own case, not the vocabulary
 
 
-PREPARED = ["heuristic_graph_scores", "similar_compounds", "compound_resolution", "replaced_entities"]
+PREPARED = ["heuristic_graph_scores", "similar_compounds", "compound_resolution", "replaced_entities", "rule_resolver"]
 
 
 @pytest.mark.parametrize("name", PREPARED)
