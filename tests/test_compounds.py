@@ -182,3 +182,12 @@ def test_texts_and_entities_are_written_once(spark, monkeypatch, name):
     files = getattr(clinical, name)(spark, "/root/testdata/sf0.001").inputFiles()
     assert labels.count("texts") == labels.count("entities") == 1
     assert files and not any("reports_lean" in f or "rag_entities" in f for f in files)
+
+
+def test_matrix_scores_above_a_bar(spark):
+    from corvigraph.queries.clinical import _matrix
+
+    whole = [tuple(r) for r in _matrix(spark, "/root/testdata/sf0.001").collect()]
+    above = [tuple(r) for r in _matrix(spark, "/root/testdata/sf0.001", 0.5).collect()]
+    assert len(above) < len(whole) and set(above) <= set(whole)
+    assert {r for r in whole if r[-1] > 0.5} <= set(above) and any(r[-1] > 0.5 for r in above)
